@@ -7,7 +7,7 @@ from . import urls as U
 from . import vocab as V
 from .text import (
     EDGE, bind, clean_text, cut_at_word, empty_if_null, fold, inline, normalize_block,
-    null_if_empty, strip_title, truncate_meta, words_pattern,
+    null_if_empty, one_line, strip_title, words_pattern,
 )
 
 ROLE_WORD = "(?i)" + words_pattern(V.ROLE_WORDS)
@@ -188,7 +188,7 @@ def company_from_text(title: Column, text: Column) -> Column:
     def pick(b):
         head_lines = F.concat(F.array(heading), F.slice(F.split(b, "\n"), 1, 8))
         from_jobs_line = _first_company(
-            F.transform(head_lines, lambda x: F.regexp_extract(clean_text(x), jobs_line, 1)), clean_text
+            F.transform(head_lines, lambda x: F.regexp_extract(clean_text(x), jobs_line, 1)), one_line
         )
         rules = [
             r"(?im)^\s*(?:Company|Organisation|Organization|Employer)\s*:\s*([^\n]{2,90})",
@@ -366,7 +366,7 @@ def section(c: Column, headings, max_chars: int = 1600) -> Column:
 
     def body(b):
         lines = F.filter(
-            F.transform(F.split(clean_text(F.regexp_extract(b, pattern, 1), keep_lines=True), "\n"), clean_text),
+            F.transform(F.split(clean_text(F.regexp_extract(b, pattern, 1), keep_lines=True), "\n"), one_line),
             lambda x: x != "",
         )
 
@@ -536,7 +536,7 @@ MONTH = (
 
 def _date_of(day: Column, month: Column, year: Column) -> Column:
     text = F.concat_ws(" ", day, F.initcap(F.substring(month, 1, 3)), year)
-    return F.when(F.length(day) > 0, F.try_to_date(text, F.lit("d MMM yyyy")))
+    return F.when(F.length(day) > 0, F.try_to_date(text, "d MMM yyyy"))
 
 
 def parse_date(c: Column) -> Column:
@@ -553,12 +553,12 @@ def parse_date(c: Column) -> Column:
     slash = F.regexp_extract(t, r"(?<!\d)(\d{1,2}/\d{1,2}/\d{4})(?!\d)", 1)
     ymd = F.regexp_extract(t, r"(?<!\d)(\d{4}/\d{1,2}/\d{1,2})(?!\d)", 1)
     date = F.coalesce(
-        F.when(iso != "", F.try_to_date(iso, F.lit("yyyy-M-d"))),
-        F.when(ymd != "", F.try_to_date(ymd, F.lit("yyyy/M/d"))),
+        F.when(iso != "", F.try_to_date(iso, "yyyy-M-d")),
+        F.when(ymd != "", F.try_to_date(ymd, "yyyy/M/d")),
         _date_of(F.regexp_extract(t, dmy, 1), F.regexp_extract(t, dmy, 2), F.regexp_extract(t, dmy, 3)),
         _date_of(F.regexp_extract(t, mdy, 2), F.regexp_extract(t, mdy, 1), F.regexp_extract(t, mdy, 3)),
         F.when(slash != "", F.coalesce(
-            F.try_to_date(slash, F.lit("M/d/yyyy")), F.try_to_date(slash, F.lit("d/M/yyyy")))),
+            F.try_to_date(slash, "M/d/yyyy"), F.try_to_date(slash, "d/M/yyyy"))),
     )
     open_ended = t.rlike("(?i)rolling|ongoing|asap|until filled")
     return F.when((t != "") & ~open_ended, F.date_format(date, "yyyy-MM-dd"))
@@ -579,7 +579,7 @@ def deadline(c: Column) -> Column:
 def iso_date(c: Column) -> Column:
     """First ISO date inside a text, as a date."""
     found = F.regexp_extract(empty_if_null(c), r"(\d{4}-\d{2}-\d{2})", 1)
-    return F.when(found != "", F.try_to_date(found, F.lit("yyyy-MM-dd")))
+    return F.when(found != "", F.try_to_date(found, "yyyy-MM-dd"))
 
 
 def age_label(ts: Column, as_of: Column) -> Column:
@@ -642,7 +642,7 @@ def country_code(place: Column, default: str | None = None) -> Column:
 def locality(place: Column) -> Column:
     skip = [k for k, _, _ in V.COUNTRIES] + V.NOT_A_LOCALITY
     pieces = F.filter(
-        F.transform(F.split(place, "[,/|-]"), F.trim),
+        F.transform(F.split(place, "[,/|-]"), lambda p: F.trim(p)),
         lambda p: (p != "") & ~F.lower(p).isin(skip),
     )
     return F.coalesce(F.get(pieces, F.lit(0)), null_if_empty(place))
@@ -706,7 +706,7 @@ def make_summary(title: Column, text: Column, max_chars: int = 700, own_names: s
     titles = F.array(title_low, clean_low)
 
     lines = F.transform(
-        F.filter(F.transform(F.split(normalize_block(t), "\n"), clean_text), lambda x: x != ""),
+        F.filter(F.transform(F.split(normalize_block(t), "\n"), one_line), lambda x: x != ""),
         lambda x: F.regexp_replace(x, r"(?i)^Selection Process\s+(Job Title\s*:)", "$1"),
     )
 

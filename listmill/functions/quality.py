@@ -26,19 +26,19 @@ def closed(tags: Column, expires_at: Column, as_of_date: Column) -> Column:
         F.concat(F.lit(","), F.translate(F.lower(empty_if_null(tags)), ";|", ",,"), F.lit(",")),
         F.lit(",closed,"),
     )
-    day = F.try_to_date(F.substring(expires_at, 1, 10), F.lit("yyyy-MM-dd"))
+    day = F.try_to_date(F.substring(expires_at, 1, 10), "yyyy-MM-dd")
     filled = expires_at.isNotNull() & (F.trim(expires_at) != "")
     return marked | (filled & (day < as_of_date))
 
 
 def expired(expires_at: Column, as_of_date: Column) -> Column:
-    day = F.try_to_date(F.substring(expires_at, 1, 10), F.lit("yyyy-MM-dd"))
+    day = F.try_to_date(F.substring(expires_at, 1, 10), "yyyy-MM-dd")
     return F.coalesce((F.trim(empty_if_null(expires_at)) != "") & (day < as_of_date), F.lit(False))
 
 
 def closed_strict(tags: Column, expires_at: Column, as_of_date: Column) -> Column:
     """Closed by tag or date, two-valued: tags are trimmed, an unreadable date is open."""
-    parts = F.transform(F.split(F.lower(empty_if_null(tags)), "[,;|]"), F.trim)
+    parts = F.transform(F.split(F.lower(empty_if_null(tags)), "[,;|]"), lambda t: F.trim(t))
     late = F.coalesce(iso_date(expires_at) < as_of_date, F.lit(False))
     return F.array_contains(parts, F.lit("closed")) | late
 

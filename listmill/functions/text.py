@@ -85,6 +85,11 @@ def clean_text(c: Column, keep_lines: bool = False) -> Column:
     return F.btrim(t, F.lit(EDGE))
 
 
+def one_line(c: Column) -> Column:
+    """``clean_text`` with a single parameter, for use inside ``transform``."""
+    return clean_text(c)
+
+
 def inline(c: Column) -> Column:
     """One line of text: control characters and white space runs become one space."""
     t = F.regexp_replace(empty_if_null(c), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")

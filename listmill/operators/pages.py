@@ -9,7 +9,7 @@ from ..functions import urls as U
 from ..functions import vocab as V
 from ..functions.quality import is_merged
 from ..functions.text import (
-    clean_text, content_hash, empty_if_null, normalize_block, null_if_empty, unescape,
+    clean_text, content_hash, empty_if_null, normalize_block, null_if_empty, one_line, unescape,
 )
 from ..session import cut_lineage
 from . import html_pass
@@ -274,7 +274,7 @@ def cards(tree: DataFrame, source: DataFrame | None = None) -> DataFrame:
     )
     text = normalize_block(c["text"], max_chars=3000)
     lines = F.filter(
-        F.transform(F.slice(F.split(normalize_block(c["text"]), "\n"), 1, 6), clean_text),
+        F.transform(F.slice(F.split(normalize_block(c["text"]), "\n"), 1, 6), one_line),
         lambda t: F.length(t).between(5, 140) & C.is_role(t),
     )
     own = F.filter(

@@ -100,3 +100,142 @@ def bad_url(c):
     t = f"lower(trim(coalesce({c}, '')))"
     starts = " OR ".join(f"starts_with({t}, {q(p)})" for p in V.BAD_URL_PREFIXES)
     return f"({starts} OR {hit(t, r'^(?:[^:/?#]+:)?//(?:www[.])?remoteok[.]com/remote-jobs', '')})"
+
+
+BOUNDARY_L = r"(^|[^\p{L}\p{N}_])"
+BOUNDARY_R = r"($|[^\p{L}\p{N}_])"
+
+
+def is_role(c):
+    return (
+        f"(length({c}) BETWEEN 5 AND 120 AND {word(c, V.ROLE_WORDS)}"
+        f" AND NOT {hit(c, V.GENERIC_TITLE + BOUNDARY_R)}"
+        f" AND NOT {hit(c, V.TASK_VERB_START + BOUNDARY_R)}"
+        f" AND NOT {hit(c, BOUNDARY_L + V.TITLE_REQUIREMENT_WORDS + BOUNDARY_R)}"
+        f" AND NOT {hit(c, BOUNDARY_L + '(?:(?:is|are)[ ]+hiring|apply[ ]+by|deadline|closing[ ]+date)' + BOUNDARY_R)})"
+    )
+
+
+def is_company(c):
+    names = ", ".join(q(x) for x in V.NOT_A_COMPANY)
+    return (
+        f"(length({c}) BETWEEN 2 AND 90 AND lower({c}) NOT IN ({names})"
+        f" AND NOT {hit(c, V.BAD_COMPANY_START + BOUNDARY_R)}"
+        f" AND NOT {hit(c, BOUNDARY_L + V.BAD_COMPANY_VERB + BOUNDARY_R)}"
+        f" AND length({c}) - length(replace({c}, ' ', '')) < 8"
+        f" AND NOT {hit(c, '[.!?]')} AND {hit(c, '[A-Za-z0-9]')})"
+    )
+
+
+def is_noise(x):
+    bare = f"trim({rx(rx(x, r'^[•\-*]\s*', '', ''), WS + '+', ' ')}, {EDGE})"
+    cats = ", ".join(q(c) for c in V.INFERRED_CATEGORIES)
+    return f"({bare} = '' OR {bare} IN ({cats}) OR {hit(bare, V.NOISE_LINE)} OR {hit(bare, V.CATEGORY_HEADING_LINE)})"
+
+
+def strip(c):
+    return rx(c, f"^{WS}+|{WS}+$")
+
+
+def block_lines(c):
+    t = f"regexp_replace({plain(c)}, '(\\S)\\s+[•●▪◦‣]\\s+', '\\1' || chr(10) || '• ', 'g')"
+    t = rx(t, r"[ \t\f\x0B]+", " ")
+    line = rx(strip("x"), r"^\s*(?:[•●▪◦‣]+|[-*]+)\s+", "• ", "")
+    return f"list_transform(string_split({t}, chr(10)), lambda x: {line})"
+
+
+def join_block(lines):
+    t = f"regexp_replace(array_to_string({lines}, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return strip(t)
+
+
+def block_ctes(name, src, text, noise=True, out="block"):
+    """CTEs that add the cleaned block of ``text`` to the rows of ``src``."""
+    lines = block_lines(text)
+    if noise:
+        lines = f"list_filter({lines}, lambda x: x = '' OR NOT {is_noise('x')})"
+    kept = "list_filter(_l, lambda x, i: x = '' OR _k[i] = '' OR list_position(_k, _k[i]) = i)"
+    return [
+        f"{name}_l AS (SELECT *, {lines} AS _l FROM {src})",
+        f"{name}_k AS (SELECT *, list_transform(_l, lambda x: {fold('x')}) AS _k FROM {name}_l)",
+        f"{name} AS (SELECT * EXCLUDE (_l, _k), {join_block(kept)} AS {out} FROM {name}_k)",
+    ]
+
+
+def cut_at_word(c, n, drop=".,;:-"):
+    cut = f"regexp_replace(substr({c}, 1, {n}), ' [^ ]*$', '')"
+    return f"(CASE WHEN length({c}) > {n} THEN rtrim({cut}, {q(drop)}) ELSE {c} END)"
+
+
+def merged(title, block):
+    labels = " OR ".join(
+        "len(list_distinct(list_filter(list_transform(regexp_extract_all("
+        + block + ", " + q(r"(?im)^\s*(?:[•\-*]\s*)?" + lab + r"\s*:?\s*([^\n]{2,140})") + ", 1), lambda x: "
+        + fold("x") + "), lambda x: x <> ''))) > 1"
+        for lab in V.MERGED_TITLE_LABELS
+    )
+    lines = (
+        f"list_filter(list_transform(string_split({block}, chr(10)), lambda x: "
+        f"trim({rx('x', r'^[•\-*]\s*', '', '')}, {EDGE})), lambda x: x <> '')"
+    )
+    chrome = f"({is_noise('x')} OR {word('x', ['jobs found', 'showing', 'filter by', 'sort by', 'latest jobs'])})"
+    info = word("x", ["deadline", "closing date", "apply by", "salary", "source"])
+    roles = (
+        f"len(list_distinct(list_transform(list_filter({lines}, lambda x: length(x) <= 140 AND {is_role('x')} AND NOT {info}"
+        f" AND NOT {chrome} AND {fold('x')} <> {fold(clean(title))} AND {fold('x')} <> ''), lambda x: {fold('x')})))"
+    )
+    n_chrome = f"len(list_filter({lines}, lambda x: {chrome}))"
+    return (
+        f"({block} <> '' AND (length({block}) > 12000 OR {labels} OR {roles} >= 3 OR ({n_chrome} >= 3 AND {roles} >= 2)))"
+    )
+
+
+def low_value(title):
+    names = ", ".join(q(x) for x in V.LOW_VALUE_TITLES)
+    t = f"lower({inline(title)})"
+    return f"({t} = '' OR {t} IN ({names}) OR length({t}) > 140)"
+
+
+def bad_row(cols):
+    text = "concat_ws(chr(10), " + ", ".join(f"coalesce({c}, '')" for c in cols) + ")"
+    urls = " OR ".join(bad_url(c) for c in cols)
+    return f"({BAD.replace('{t}', text)} OR {hit(text, '(?s)please mention the word.{0,240}tag[ ]+[a-z0-9+/=]{12,}')} OR {urls})"
+
+
+BAD_COLS = ["title", "company", "summary", "job_description", "requirements", "apply_url", "source_url"]
+
+
+def public_ctes(src="jobs", name="pub"):
+    """CTEs down to ``name``: rows of ``src`` with a boolean ``is_public``."""
+    return block_ctes(f"{name}_b", src, "coalesce(nullif(job_description, ''), summary)") + [
+        f"{name} AS (SELECT * EXCLUDE (block), (NOT {CLOSED_STRICT} AND NOT {low_value('title')} AND NOT {bad_row(BAD_COLS)}"
+        f" AND NOT {merged('title', 'block')}) AS is_public FROM {name}_b)"
+    ]
+
+
+def slug(c):
+    return f"trim({rx(f'lower(coalesce({c}, {q(chr(0)[:0])}))', '[^a-z0-9]+', '-')}, '-')"
+
+
+URL = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
+
+
+def url_part(c, n):
+    return f"regexp_extract({c}, {q(URL)}, {n})"
+
+
+def is_web(c):
+    return f"regexp_matches(coalesce({c}, ''), '^(?i)https?://[^/?#]')"
+
+
+def keywords(c):
+    words = (
+        f"list_transform(regexp_extract_all(lower(coalesce({c}, '')), '([a-z0-9]+)', 1), "
+        "lambda w: CASE WHEN length(w) > 4 AND ends_with(w, 's') THEN substr(w, 1, length(w) - 1) ELSE w END)"
+    )
+    stop = ", ".join(q(w) for w in V.STOP_WORDS)
+    return f"list_distinct(list_filter({words}, lambda w: length(w) >= 3 AND w NOT IN ({stop})))"
+
+
+def set_text(lst):
+    return f"array_to_string(list_sort({lst}), ' ')"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import vocab as V
-from ..functions.text import clean_text, empty_if_null, null_if_empty
+from ..functions.text import clean_text, empty_if_null, null_if_empty, one_line
 from ..functions.urls import normalize_url, path
 from ..operators.pages import html_to_text
 
@@ -44,7 +44,7 @@ def _joined(i, field: str, limit: int | None = None) -> Column:
     """A list of texts joined by commas, or a single text."""
     arr = _get(i, field, "array<string>")
     arr = F.slice(arr, 1, limit) if limit else arr
-    names = F.filter(F.transform(arr, clean_text), lambda t: t != "")
+    names = F.filter(F.transform(arr, one_line), lambda t: t != "")
     return null_if_empty(F.coalesce(F.array_join(names, ", "), clean_text(_get(i, field))))
 
 
@@ -53,7 +53,7 @@ def _names(i, field: str) -> Column:
     arr = _get(i, field, "array<variant>")
     listed = F.transform(arr, lambda v: F.coalesce(_get(v, "name"), F.try_variant_get(v, "$", "string")))
     # an object without a name also reads as JSON text; only real texts may stand in
-    named = F.filter(F.transform(listed, clean_text), lambda t: (t != "") & ~F.startswith(t, F.lit("{")))
+    named = F.filter(F.transform(listed, one_line), lambda t: (t != "") & ~F.startswith(t, F.lit("{")))
     single = F.coalesce(_get(i, f"{field}.name"), F.try_variant_get(i, f"$.{field}", "string"))
     text = F.when(arr.isNotNull(), F.array_join(named, ", ")).otherwise(clean_text(single))
     return null_if_empty(text)
@@ -222,7 +222,7 @@ def rss(feeds: DataFrame, settings=None) -> DataFrame:
     rows = doc.select("source_name", "url", F.posexplode("_doc.channel.item").alias("pos", "i"))
     f = lambda n: clean_text(F.col(f"i.{n}"), keep_lines=True)
     html = F.coalesce(null_if_empty(f("description")), f("`content:encoded`"))
-    cats = F.filter(F.transform("i.category", clean_text), lambda t: t != "")
+    cats = F.filter(F.transform("i.category", one_line), lambda t: t != "")
     body = html_to_text(html)
     area = F.lower(F.concat_ws(" ", cats, body))
     place = (
