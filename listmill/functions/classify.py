@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from . import urls as U
 from . import vocab as V
 from .text import (
-    EDGE, bind, clean_text, cut_at_word, empty_if_null, fold, inline, normalize_block,
-    null_if_empty, one_line, strip_title, words_pattern,
+    bind, clean_text, cut_at_word, empty_if_null, first_of_each_key, fold, inline, is_noise_line, normalize_block,
+    null_if_empty, one_line, strip_tail, words_pattern,
 )
 
 ROLE_WORD = "(?i)" + words_pattern(V.ROLE_WORDS)
@@ -21,26 +21,28 @@ def _escape(label: str) -> str:
 # ------------------------------------------------------------------ titles, roles
 def is_role(c: Column) -> Column:
     """Does the text read like one job title?"""
-    return (
-        F.length(c).between(5, 120)
-        & c.rlike(ROLE_WORD)
-        & ~c.rlike("(?i)" + V.GENERIC_TITLE + r"\b")
-        & ~c.rlike("(?i)" + V.TASK_VERB_START + r"\b")
-        & ~c.rlike(r"(?i)\b" + V.TITLE_REQUIREMENT_WORDS + r"\b")
-        & ~c.rlike(r"(?i)\b(?:is|are)\s+hiring\b|\bapply\s+by\b|\bdeadline\b|\bclosing\s+date\b")
+    not_a_title = "|".join(
+        [
+            V.GENERIC_TITLE + r"\b", V.TASK_VERB_START + r"\b", r"\b" + V.TITLE_REQUIREMENT_WORDS + r"\b",
+            r"\b(?:is|are)\s+hiring\b", r"\bapply\s+by\b", r"\bdeadline\b", r"\bclosing\s+date\b",
+        ]
+    )
+    return bind(
+        c,
+        lambda t: F.length(t).between(5, 120) & t.rlike(ROLE_WORD) & ~t.rlike("(?i)" + not_a_title),
     )
 
 
 def is_company(c: Column) -> Column:
-    spaces = F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-    return (
-        F.length(c).between(2, 90)
-        & ~F.lower(c).isin(V.NOT_A_COMPANY)
-        & ~c.rlike("(?i)" + V.BAD_COMPANY_START + r"\b")
-        & ~c.rlike(r"(?i)\b" + V.BAD_COMPANY_VERB + r"\b")
-        & (spaces < 8)
-        & ~c.rlike("[.!?]")
-        & c.rlike("[A-Za-z0-9]")
+    not_a_name = "|".join(
+        [
+            r"^(?:" + "|".join(V.NOT_A_COMPANY) + ")$", V.BAD_COMPANY_START + r"\b",
+            r"\b" + V.BAD_COMPANY_VERB + r"\b", "[.!?]", "^(?:[^ ]* ){8}",
+        ]
+    )
+    return bind(
+        c,
+        lambda t: F.length(t).between(2, 90) & t.rlike("[A-Za-z0-9]") & ~t.rlike("(?i)" + not_a_name),
     )
 
 
@@ -63,9 +65,9 @@ def role_from_text(body: Column) -> Column:
             F.transform(
                 pairs,
                 lambda p, i: F.struct(
-                    F.array_position(priority, F.lower(p["0"])).alias("rank"),
+                    F.array_position(priority, F.lower(p["label"])).alias("rank"),
                     i.alias("pos"),
-                    strip_title(p["1"]).alias("role"),
+                    strip_tail(p["value"]).alias("role"),
                 ),
             ),
             lambda r: is_role(r["role"]),
@@ -73,7 +75,7 @@ def role_from_text(body: Column) -> Column:
         labelled = F.array_min(ranked)["role"]
 
         lines = F.transform(
-            F.split(b, "\n"), lambda x: clean_text(F.regexp_replace(x, r"^[•\-*]\s*", ""))
+            F.split(b, "\n"), lambda x: one_line(F.regexp_replace(x, r"^[•\-*]\s*", ""))
         )
 
         def scan(ls):
@@ -83,7 +85,7 @@ def role_from_text(body: Column) -> Column:
                         F.transform(ls, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
                         lambda e: e["x"].rlike(rf"(?i)^(?:{labels})\s*:?$"),
                     ),
-                    lambda e: F.transform(F.slice(ls, e["i"] + 2, 3), strip_title),
+                    lambda e: F.transform(F.slice(ls, e["i"] + 2, 3), strip_tail),
                 )
             )
             likely = F.filter(ls, lambda x: (F.length(x) <= 130) & x.rlike(ROLE_WORD))
@@ -92,21 +94,22 @@ def role_from_text(body: Column) -> Column:
                 in_line = [
                     F.when(
                         F.contains(x, F.lit(":")),
-                        null_if_empty(strip_title(F.regexp_extract(x, rf"(?i){lab}\s*:\s*(.+)$", 1))),
+                        null_if_empty(strip_tail(F.regexp_extract(x, rf"(?i){lab}\s*:\s*(.+)$", 1))),
                     )
                     for lab in V.ROLE_LABELS
                 ]
                 bare = F.regexp_replace(x, r"\s+[–—-]\s+[A-Z][A-Za-z0-9 &.'’/-]{2,80}$", "")
                 skip = x.rlike(r"(?i)^(?:how to apply|about|contents|the role)$")
-                return F.array_compact(F.array(*in_line, F.when(~skip, strip_title(bare))))
+                return F.array_compact(F.array(*in_line, F.when(~skip, strip_tail(bare))))
 
             heading = F.flatten(F.transform(likely, candidates))
             return F.coalesce(_first(F.filter(below, is_role)), _first(F.filter(heading, is_role)))
 
         return F.coalesce(labelled, bind(lines, scan))
 
-    clean = clean_text(body, keep_lines=True)
-    return F.when(clean.rlike(ROLE_WORD), bind(clean, pick))
+    return bind(
+        clean_text(body, keep_lines=True), lambda b: F.when(b.rlike(ROLE_WORD), pick(b))
+    )
 
 
 HIRING_SPLITS = [   # pattern, company group, title group
@@ -123,44 +126,49 @@ def split_hiring_title(title: Column) -> Column:
     def pick(t):
         tries = []
         for pattern, company_at, role_at in HIRING_SPLITS:
-            company = clean_text(F.regexp_extract(t, "(?i)" + pattern, company_at))
+            company = one_line(F.regexp_extract(t, "(?i)" + pattern, company_at))
             role = F.regexp_replace(
-                clean_text(F.regexp_extract(t, "(?i)" + pattern, role_at)),
+                one_line(F.regexp_extract(t, "(?i)" + pattern, role_at)),
                 r"(?i)^(?:for\s+)?(?:the\s+)?(?:position|role|post)\s+of\s+", "",
             )
-            tries.append(F.struct(company.alias("company"), strip_title(role).alias("role")))
+            tries.append(F.struct(company.alias("company"), strip_tail(role).alias("role")))
         return _first(
             F.filter(F.array(*tries), lambda s: is_company(s["company"]) & is_role(s["role"]))
         )
 
-    t = strip_title(title)
-    hint = t.rlike(r"(?i)\s(?:hiring|seeks|seeking|recruiting|at|with)\b")
-    return F.when(hint, bind(t, pick))
+    hint = r"(?i)\s(?:hiring|seeks|seeking|recruiting|at|with)\b"
+    return bind(strip_tail(title), lambda t: F.when(t.rlike(hint), pick(t)))
 
 
-def clean_title(title: Column, company: Column, text: Column, max_chars: int = 80) -> Column:
+def clean_title(title: Column, company: Column | None, text: Column | None, max_chars: int = 80) -> Column:
     """Role title only: company, deadline, salary and workplace parts removed."""
-    original = clean_text(title)
-    found = role_from_text(text)
-    split = split_hiring_title(original)
-    t = F.coalesce(split["role"], strip_title(original))
-    t = F.regexp_replace(
-        t, r"(?i)^(job title|position title|position|role title|role|vacancy|post)\s*:\s*", ""
-    )
-    t = strip_title(t)
-    owner = F.coalesce(null_if_empty(clean_text(company)), split["company"])
-    rest = F.substr(t, F.length(owner) + 1)
-    led = F.startswith(F.lower(t), F.lower(owner)) & rest.rlike(r"^\s*[-–—:|]")
-    t = F.when(
-        owner.isNotNull(),
-        strip_title(F.when(led, F.regexp_replace(rest, r"^\s*[-–—:|]\s*", "")).otherwise(t)),
-    ).otherwise(t)
-    t = F.regexp_replace(t, r"(?i)\s+vacanc(?:y|ies)\s*(?:20\d{2})?\b.*$", "")
-    paid = original.rlike(r"(?i)\b(?:hiring|recruiting|paying|earn|salary|compensation|usd|eur|gbp)\b")
-    t = F.when(found.isNotNull() & (~is_role(t) | paid), found).otherwise(t)
-    t = clean_text(cut_at_word(t, max_chars))
-    t = F.coalesce(null_if_empty(t), F.substring(original, 1, max_chars))
-    return F.when(original == "", F.coalesce(found, F.lit("Untitled role"))).otherwise(t)
+    prefix = r"(?i)^(job title|position title|position|role title|role|vacancy|post)\s*:\s*"
+    paid = r"(?i)\b(?:hiring|recruiting|paying|earn|salary|compensation|usd|eur|gbp)\b"
+
+    def without_owner(t, owner):
+        rest = F.substr(t, F.length(owner) + 1)
+        led = F.startswith(F.lower(t), F.lower(owner)) & rest.rlike(r"^\s*[-–—:|]")
+        return F.when(led, strip_tail(F.regexp_replace(rest, r"^\s*[-–—:|]\s*", ""))).otherwise(t)
+
+    def own_title(original, split):
+        t = strip_tail(F.regexp_replace(F.coalesce(split["role"], strip_tail(original)), prefix, ""))
+        named = [] if company is None else [null_if_empty(clean_text(company))]
+        owner = F.coalesce(*named, split["company"], F.lit(""))
+        t = bind(t, lambda x: bind(owner, lambda o: F.when(o != "", without_owner(x, o)).otherwise(x)))
+        return F.regexp_replace(t, r"(?i)\s+vacanc(?:y|ies)\s*(?:20\d{2})?\b.*$", "")
+
+    def choose(original, found):
+        t = bind(split_hiring_title(original), lambda s: own_title(original, s))
+        t = bind(
+            t,
+            lambda x: F.when(found.isNotNull() & (~is_role(x) | original.rlike(paid)), found).otherwise(x),
+        )
+        t = one_line(cut_at_word(t, max_chars))
+        t = F.coalesce(null_if_empty(t), F.substring(original, 1, max_chars))
+        return F.when(original == "", F.coalesce(found, F.lit("Untitled role"))).otherwise(t)
+
+    found = F.lit(None).cast("string") if text is None else role_from_text(text)
+    return bind(clean_text(title), lambda o: bind(found, lambda f: choose(o, f)))
 
 
 # ------------------------------------------------------------------ companies
@@ -183,12 +191,12 @@ def company_from_text(title: Column, text: Column) -> Column:
     )
 
     def drop_jobs(x):
-        return F.regexp_replace(clean_text(x), r"(?i)\s+(?:Zimbabwe\s+)?Jobs?$", "")
+        return F.regexp_replace(one_line(x), r"(?i)\s+(?:Zimbabwe\s+)?Jobs?$", "")
 
     def pick(b):
         head_lines = F.concat(F.array(heading), F.slice(F.split(b, "\n"), 1, 8))
         from_jobs_line = _first_company(
-            F.transform(head_lines, lambda x: F.regexp_extract(clean_text(x), jobs_line, 1)), one_line
+            F.transform(head_lines, lambda x: F.regexp_extract(one_line(x), jobs_line, 1)), one_line
         )
         rules = [
             r"(?im)^\s*(?:Company|Organisation|Organization|Employer)\s*:\s*([^\n]{2,90})",
@@ -196,11 +204,11 @@ def company_from_text(title: Column, text: Column) -> Column:
             r"(?im)^\s*([A-Z0-9][A-Za-z0-9 &.'’/-]{2,90}?)\s+is\s+(?:inviting|seeking|looking|hiring|recruiting)\b",
             r"(?im)^\s*([A-Z0-9][A-Za-z0-9 &.'’/-]{2,90}?)\s*,\s+(?:operating|based|a\s+registered|an?\s+international)",
         ]
-        split = split_hiring_title(heading)["company"]
+        split = bind(
+            split_hiring_title(heading)["company"], lambda x: F.when(is_company(x), x)
+        )
         return F.coalesce(
-            from_jobs_line,
-            F.when(is_company(split), split),
-            *[_first_company(_matches(b, p), drop_jobs) for p in rules],
+            from_jobs_line, split, *[_first_company(_matches(b, p), drop_jobs) for p in rules]
         )
 
     return bind(body, pick)
@@ -215,34 +223,36 @@ def infer_company(title: Column, text: Column) -> Column:
     ]
 
     def tidy(x):
-        x = F.regexp_replace(clean_text(x), r"(?i)\s+(?:job|vacancy|role|position)$", "")
+        x = F.regexp_replace(one_line(x), r"(?i)\s+(?:job|vacancy|role|position)$", "")
         return F.trim(F.regexp_replace(x, r"\s*\|.*$", ""))
 
     tries = []
     for p in rules:
         found = tidy(F.regexp_extract(joined, p, 1))
-        tries.append(F.when(is_company(found), found))
+        tries.append(bind(found, lambda x: F.when(is_company(x), x)))
     return F.coalesce(company_from_text(title, text), *tries, F.lit("Confidential"))
 
 
 def _tidy_named_company(x: Column) -> Column:
-    x = clean_text(x)
-    pronoun = F.lower(x).isin("we", "us", "our", "ours", "they", "them", "their", "the company")
-    t = F.regexp_replace(
-        x, r"(?i)^(?:the\s+company|company|organisation|organization|employer|hiring\s+company)\s*:?\s*", ""
-    )
-    t = F.regexp_replace(t, r"(?i)\s+(?:Zimbabwe\s+)?Jobs?$", "")
-    t = F.trim(F.regexp_replace(t, r"\s*\|.*$", ""))
-    t = F.regexp_replace(t, r"(?i)\s+[-–—]\s+(?:job|vacanc(?:y|ies)|role|position).*$", "")
-    t = F.regexp_replace(
-        t, r"(?i)\s+(?:is|are)\s+(?:hiring|recruiting|seeking|looking|inviting|a|an|the)\b.*$", ""
-    )
-    t = F.regexp_replace(t, r"(?i)\s+\b(?:job|vacancy|role|position)$", "")
-    t = clean_text(F.btrim(t, F.lit(" ,;:")))
-    applicant = t.rlike(
+    cuts = [
+        r"^(?:the\s+company|company|organisation|organization|employer|hiring\s+company)\s*:?\s*",
+        r"\s+(?:Zimbabwe\s+)?Jobs?$",
+        r"\s*\|.*$",
+        r"\s+[-–—]\s+(?:job|vacanc(?:y|ies)|role|position).*$",
+        r"\s+(?:is|are)\s+(?:hiring|recruiting|seeking|looking|inviting|a|an|the)\b.*$",
+        r"\s+\b(?:job|vacancy|role|position)$",
+    ]
+    reject = (
         r"(?i)\b(?:applicants?|candidates?|applications?|qualifications?|requirements?|duties|responsibilities)\b"
     )
-    return F.when(~pronoun & ~applicant, t)
+
+    def tidy(t):
+        pronoun = F.lower(t).isin("we", "us", "our", "ours", "they", "them", "their", "the company")
+        for c in cuts:
+            t = F.regexp_replace(t, "(?i)" + c, "")
+        return F.when(~pronoun, one_line(F.btrim(t, F.lit(" ,;:"))))
+
+    return bind(bind(one_line(x), tidy), lambda t: F.when(~t.rlike(reject), t))
 
 
 def _named(candidates: Column, reject: str | None = None) -> Column:
@@ -274,10 +284,12 @@ def known_organisation(text: Column) -> Column:
         rf"(?:{V.ORGANISATION_ENDINGS}))\b"
     )
     reject = r"(?i)\b(?:Job|Vacancy|Application|Selection|Human Resources|Finance Department)\b"
-    named = [
-        F.when(text.rlike(rf"(?i)(?<![\w-]){n}(?![\w-])"), F.lit(n)) for n in V.KNOWN_ORGANISATIONS
-    ]
-    return F.coalesce(*named, _named(_matches(text, ending), reject))
+
+    def pick(b):
+        named = [F.when(b.rlike(rf"(?i)(?<![\w-]){n}(?![\w-])"), F.lit(n)) for n in V.KNOWN_ORGANISATIONS]
+        return F.coalesce(*named, _named(_matches(b, ending), reject))
+
+    return bind(text, pick)
 
 
 def mail_domains(c: Column) -> Column:
@@ -290,34 +302,50 @@ def mail_domains(c: Column) -> Column:
 def company_of_domain(domain: Column) -> Column:
     """Company name spelled by a mail domain, or null for free mail and generic labels."""
     generic = F.array(*[F.lit(x) for x in V.GENERIC_DOMAIN_LABELS])
-    parts = F.filter(F.split(domain, r"\."), lambda p: p != "")
-    n = F.size(parts)
-    two_level = F.array_join(F.slice(parts, F.greatest(n - 1, F.lit(1)), 2), ".").isin(V.TWO_LEVEL_SUFFIXES)
-    label = F.when(two_level & (n >= 3), F.get(parts, n - 3)).otherwise(F.get(parts, n - 2))
-    core = F.regexp_replace(label, r"^(?:the|my|go|get)[-_]?", "")
-    pieces = F.filter(F.split(core, "[-_.]+"), lambda p: (p != "") & ~F.array_contains(generic, p))
-    one = F.get(pieces, F.lit(0))
-    split = None
-    for e in V.COMPANY_NAME_ENDINGS:
-        hit = F.endswith(one, F.lit(e)) & (F.length(one) > len(e) + 2)
-        value = F.array(F.substr(one, F.lit(1), F.length(one) - len(e)), F.lit(e))
-        split = F.when(hit, value) if split is None else split.when(hit, value)
-    pieces = F.when(F.size(pieces) == 1, F.coalesce(split, pieces)).otherwise(pieces)
-    name = F.array_join(
-        F.transform(
+
+    def label_of(parts):
+        n = F.size(parts)
+        tail = F.concat_ws(".", F.get(parts, n - 2), F.get(parts, n - 1))
+        return F.when(tail.isin(V.TWO_LEVEL_SUFFIXES) & (n >= 3), F.get(parts, n - 3)).otherwise(
+            F.get(parts, n - 2)
+        )
+
+    def split_ending(pieces):
+        one = F.get(pieces, F.lit(0))
+        split = first_of(
+            [
+                (
+                    F.endswith(one, F.lit(e)) & (F.length(one) > len(e) + 2),
+                    F.array(F.substr(one, F.lit(1), F.length(one) - len(e)), F.lit(e)),
+                )
+                for e in V.COMPANY_NAME_ENDINGS
+            ]
+        )
+        return F.when(F.size(pieces) == 1, F.coalesce(split, pieces)).otherwise(pieces)
+
+    def spell(pieces):
+        words = F.transform(
             pieces,
             lambda p: F.when(p.isin(V.DOMAIN_ACRONYMS), F.upper(p)).otherwise(
                 F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))
             ),
-        ),
-        " ",
-    )
-    usable = (n >= 2) & ~domain.isin(V.FREE_MAIL_DOMAINS) & ~F.array_contains(generic, label)
-    return F.when(usable & is_company(name), name)
+        )
+        return F.array_join(words, " ")
+
+    def name_of(label):
+        core = F.split(F.regexp_replace(label, r"^(?:the|my|go|get)[-_]?", ""), "[-_.]+")
+        pieces = F.filter(core, lambda p: (p != "") & ~F.array_contains(generic, p))
+        name = spell(bind(pieces, split_ending))
+        return F.when(
+            ~F.array_contains(generic, label), bind(name, lambda x: F.when(is_company(x), x))
+        )
+
+    parts = F.filter(F.split(domain, r"\."), lambda p: p != "")
+    return F.when(~domain.isin(V.FREE_MAIL_DOMAINS), bind(bind(parts, label_of), name_of))
 
 
 def company_from_email(c: Column) -> Column:
-    names = F.transform(mail_domains(clean_text(c)), company_of_domain)
+    names = F.transform(mail_domains(one_line(c)), company_of_domain)
     return F.when(F.contains(c, F.lit("@")), _first(F.array_compact(names)))
 
 
@@ -342,7 +370,7 @@ def repair_company(company, title, text, location, source_name, source_url, appl
         lambda b: F.coalesce(explicit_company(title, b), known_organisation(b), company_from_email(b)),
     )
     eligible = is_aggregator_name(company) & in_aggregator_context(location, source_name, source_url)
-    return F.when(eligible & ~is_aggregator_name(found), found)
+    return F.when(eligible, bind(found, lambda x: F.when(~is_aggregator_name(x), x)))
 
 
 # ------------------------------------------------------------------ labelled values
@@ -352,9 +380,9 @@ def labelled(
     """Value of the first label, in label order, whose first line has a short enough value."""
 
     def value(b, label):
-        v = clean_text(F.regexp_extract(b, rf"(?im){BULLET}{_escape(label)}\s*{colon}\s*([^\n]+)", 1))
-        size = F.length(v) < max_chars if below else F.length(v) <= max_chars
-        return F.when((v != "") & size, v)
+        found = F.regexp_extract(b, rf"(?im){BULLET}{_escape(label)}\s*{colon}\s*([^\n]+)", 1)
+        most = max_chars - 1 if below else max_chars
+        return bind(one_line(found), lambda v: F.when(F.length(v).between(1, most), v))
 
     return bind(clean_text(c, keep_lines=True), lambda b: F.coalesce(*[value(b, x) for x in labels]))
 
@@ -436,7 +464,7 @@ def location(value: Column, title: Column, text: Column, default: Column) -> Col
                 (hybrid, "Hybrid"),
                 *place,
             ],
-            F.coalesce(null_if_empty(clean_text(value)), default),
+            F.coalesce(null_if_empty(one_line(value)), default),
         )
 
     return bind(clean_text(joined), pick)
@@ -444,7 +472,7 @@ def location(value: Column, title: Column, text: Column, default: Column) -> Col
 
 def _category_name(c: Column) -> Column:
     """Current name of a category: renamed when old, itself when current, else empty."""
-    t = clean_text(c)
+    t = one_line(c)
     old = first_of([(F.lower(t) == k, v) for k, v in V.OLD_CATEGORY_NAMES.items()])
     return F.coalesce(old, F.when(t.isin(V.INFERRED_CATEGORIES), t), F.lit(""))
 
@@ -476,15 +504,16 @@ def salary_text(c: Column) -> Column:
         rf"(?i)({money}\s?[\d,]+(?:\s?[–\-]\s?{money}?\s?[\d,]+)?\s*"
         r"(?:per annum|per year|/year|/month|per month|/hour|per hour)?)",
     ]
-    found = F.coalesce(*[null_if_empty(F.regexp_extract(c, p, 1)) for p in tries])
-    return F.substring(clean_text(found), 1, 120) if found is None else F.when(
-        found.isNotNull(), F.substring(clean_text(found), 1, 120)
-    )
+    found = bind(c, lambda t: F.coalesce(*[null_if_empty(F.regexp_extract(t, p, 1)) for p in tries]))
+    return null_if_empty(F.substring(one_line(found), 1, 120))
 
 
 def salary_struct(c: Column) -> Column:
     """struct(currency, unit, min, max, value) of a salary text, or null when incomplete."""
-    t = inline(c)
+    return bind(inline(c), _salary_of)
+
+
+def _salary_of(t: Column) -> Column:
     low = F.lower(t)
     currency = first_of(
         [
@@ -542,26 +571,32 @@ def _date_of(day: Column, month: Column, year: Column) -> Column:
 def parse_date(c: Column) -> Column:
     """ISO date of a date-like text; rolling or unreadable deadlines give null."""
     t = F.regexp_replace(
-        clean_text(c),
+        one_line(c),
         r"(?i)^(last updated|posted|date|closing date|deadline|apply by|applications? close)\s*:?\s*",
         "",
     )
     t = F.replace(t, F.lit("at "), F.lit(""))
+    open_ended = "(?i)rolling|ongoing|asap|until filled"
+    return bind(
+        t, lambda x: F.when((x != "") & ~x.rlike(open_ended), F.date_format(_read_date(x), "yyyy-MM-dd"))
+    )
+
+
+def _read_date(t: Column) -> Column:
     iso = F.regexp_extract(t, r"(\d{4}-\d{1,2}-\d{1,2})", 1)
     dmy = rf"(?i)(?<!\d)(\d{{1,2}})(?:st|nd|rd|th)?[ \-]+(?:of +)?({MONTH})\.?,?[ \-]+(\d{{4}})"
     mdy = rf"(?i)\b({MONTH})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})"
     slash = F.regexp_extract(t, r"(?<!\d)(\d{1,2}/\d{1,2}/\d{4})(?!\d)", 1)
     ymd = F.regexp_extract(t, r"(?<!\d)(\d{4}/\d{1,2}/\d{1,2})(?!\d)", 1)
-    date = F.coalesce(
-        F.when(iso != "", F.try_to_date(iso, "yyyy-M-d")),
-        F.when(ymd != "", F.try_to_date(ymd, "yyyy/M/d")),
-        _date_of(F.regexp_extract(t, dmy, 1), F.regexp_extract(t, dmy, 2), F.regexp_extract(t, dmy, 3)),
-        _date_of(F.regexp_extract(t, mdy, 2), F.regexp_extract(t, mdy, 1), F.regexp_extract(t, mdy, 3)),
-        F.when(slash != "", F.coalesce(
-            F.try_to_date(slash, "M/d/yyyy"), F.try_to_date(slash, "d/M/yyyy"))),
+    found = lambda pattern, n: F.regexp_extract(t, pattern, n)
+    return F.coalesce(
+        F.try_to_date(null_if_empty(iso), "yyyy-M-d"),
+        F.try_to_date(null_if_empty(ymd), "yyyy/M/d"),
+        _date_of(found(dmy, 1), found(dmy, 2), found(dmy, 3)),
+        _date_of(found(mdy, 2), found(mdy, 1), found(mdy, 3)),
+        F.try_to_date(null_if_empty(slash), "M/d/yyyy"),
+        F.try_to_date(null_if_empty(slash), "d/M/yyyy"),
     )
-    open_ended = t.rlike("(?i)rolling|ongoing|asap|until filled")
-    return F.when((t != "") & ~open_ended, F.date_format(date, "yyyy-MM-dd"))
 
 
 DEADLINE_PATTERNS = [
@@ -573,13 +608,15 @@ DEADLINE_PATTERNS = [
 
 
 def deadline(c: Column) -> Column:
-    return F.coalesce(*[parse_date(F.regexp_extract(c, p, 1)) for p in DEADLINE_PATTERNS])
+    return bind(
+        c, lambda t: F.coalesce(*[parse_date(F.regexp_extract(t, p, 1)) for p in DEADLINE_PATTERNS])
+    )
 
 
 def iso_date(c: Column) -> Column:
     """First ISO date inside a text, as a date."""
     found = F.regexp_extract(empty_if_null(c), r"(\d{4}-\d{2}-\d{2})", 1)
-    return F.when(found != "", F.try_to_date(found, "yyyy-MM-dd"))
+    return F.try_to_date(null_if_empty(found), "yyyy-MM-dd")
 
 
 def age_label(ts: Column, as_of: Column) -> Column:
@@ -681,54 +718,41 @@ def device(user_agent: Column) -> Column:
 
 # ------------------------------------------------------------------ summary
 def _is_heading(line: Column) -> Column:
-    bare = clean_text(F.regexp_replace(line, r"^[•\-*]\s*", ""))
-    words = F.filter(F.split(bare, " "), lambda w: w != "")
-    capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-    n = F.size(words)
-    short_title = (
-        (F.length(bare) <= 72)
-        & ~bare.rlike("[:.!?]")
-        & bare.rlike("[A-Za-z]")
-        & n.between(2, 8)
-        & (capital >= F.greatest(F.lit(1), n - 2))
-    )
-    return (bare == "") | bare.rlike("(?i)" + V.SECTION_HEADING_LINE) | short_title
+
+    def test(bare):
+        words = F.filter(F.split(bare, " "), lambda w: w != "")
+        capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+        n = F.size(words)
+        short_title = (
+            (F.length(bare) <= 72)
+            & ~bare.rlike("[:.!?]")
+            & bare.rlike("[A-Za-z]")
+            & n.between(2, 8)
+            & (capital >= F.greatest(F.lit(1), n - 2))
+        )
+        return (bare == "") | bare.rlike("(?i)" + V.SECTION_HEADING_LINE) | short_title
+
+    return bind(one_line(F.regexp_replace(line, r"^[•\-*]\s*", "")), test)
 
 
 def make_summary(title: Column, text: Column, max_chars: int = 700, own_names: str = "applynow") -> Column:
     """Short summary: descriptive sentences, then labelled facts, then long bullets."""
-    t = normalize_block(text)
-    for p in V.SUMMARY_BOILERPLATE:
-        t = F.regexp_replace(t, "(?is)" + p, "")
-    title_low = F.lower(clean_text(title))
-    nothing = F.lit(None).cast("string")
-    clean_low = F.lower(clean_title(title, nothing, nothing))
-    titles = F.array(title_low, clean_low)
-
-    lines = F.transform(
-        F.filter(F.transform(F.split(normalize_block(t), "\n"), one_line), lambda x: x != ""),
-        lambda x: F.regexp_replace(x, r"(?i)^Selection Process\s+(Job Title\s*:)", "$1"),
-    )
+    chrome = r"(?i)^(?:share on|copy link|save job|apply on official site|always apply on the official source)"
+    site = rf"(?i){own_names}|privacy policy|terms of use|cookie"
 
-    def drop_contents_and_headings(ls):
-        # inside a table of contents at most 30 heading-like lines are skipped, then
-        # headings are dropped anyway, so every heading-like line goes either way
-        chrome = r"(?i)^(?:share on|copy link|save job|apply on official site|always apply on the official source)"
-        site = rf"(?i){own_names}|privacy policy|terms of use|cookie"
+    def useful(lines, titles):
+        # heading-like lines go inside and outside a table of contents alike
         return F.filter(
-            ls,
-            lambda x: ~F.array_contains(titles, F.lower(x))
-            & ~(F.lower(x) == "contents")
+            lines,
+            lambda x: ~is_noise_line(x)
+            & ~F.array_contains(titles, F.lower(x))
+            & (F.lower(x) != "contents")
             & ~_is_heading(x)
             & ~x.rlike(chrome)
             & ~x.rlike(r"(?i)^(?:source|official source)\s*:")
             & ~(x.rlike(site) & (F.length(x) < 120)),
         )
 
-    from .text import first_of_each_key
-
-    kept = first_of_each_key(drop_contents_and_headings(lines), fold, keep_unkeyed=False)
-
     def choose(ls):
         told = F.filter(ls, lambda x: (F.length(x) >= 70) & ~x.rlike(r"^[A-Za-z /]+\s*:"))
         facts = F.filter(ls, lambda x: x.rlike(rf"(?i)^(?:{V.SUMMARY_FACT_LABELS})\s*:"))
@@ -736,14 +760,28 @@ def make_summary(title: Column, text: Column, max_chars: int = 700, own_names: s
         chosen = F.array_distinct(
             F.concat(F.slice(told, 1, 3), F.slice(facts, 1, 6), F.slice(bullets, 1, 4))
         )
-        picked = F.when(F.size(chosen) > 0, chosen).otherwise(F.slice(ls, 1, 8))
+        picked = bind(chosen, lambda c: F.when(F.size(c) > 0, c).otherwise(F.slice(ls, 1, 8)))
         return F.when(F.size(ls) > 0, F.array_join(picked, "\n"))
 
-    body = normalize_block(bind(kept, choose))
-    short = F.when(F.length(body) <= max_chars, body).otherwise(
-        F.concat(cut_at_word(body, max_chars, ".,; "), F.lit("…"))
-    )
-    blank = normalize_block(text) == ""
-    return F.when(blank, title).otherwise(
-        F.coalesce(null_if_empty(short), clean_title(title, nothing, nothing))
+    def cut(body):
+        return F.when(F.length(body) <= max_chars, body).otherwise(
+            F.concat(cut_at_word(body, max_chars, ".,; "), F.lit("…"))
+        )
+
+    def summarise(block, short_title):
+        t = block
+        for p in V.SUMMARY_BOILERPLATE:
+            t = F.regexp_replace(t, "(?is)" + p, "")
+        lines = F.transform(
+            F.filter(F.transform(F.split(t, "\n"), one_line), lambda x: x != ""),
+            lambda x: F.regexp_replace(x, r"(?i)^Selection Process\s+(Job Title\s*:)", "$1"),
+        )
+        titles = F.array(F.lower(clean_text(title)), F.lower(short_title))
+        kept = first_of_each_key(useful(lines, titles), fold, keep_unkeyed=False)
+        made = bind(bind(kept, choose), cut)
+        return F.when(block == "", title).otherwise(F.coalesce(null_if_empty(made), short_title))
+
+    return bind(
+        normalize_block(text),
+        lambda b: bind(clean_title(title, None, None), lambda t: summarise(b, t)),
     )

@@ -51,21 +51,23 @@ def _code_point(entity: Column) -> Column:
 
 def unescape(c: Column) -> Column:
     """Resolve character references: the known names and every numeric one."""
-    named = reduce(
-        lambda t, kv: F.replace(t, F.lit(f"&{kv[0]};"), F.lit(kv[1])), V.ENTITIES.items(), c
-    )
-    numeric = F.aggregate(
-        F.array_distinct(
-            F.regexp_extract_all(
-                named, F.lit("(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), F.lit(1)
-            )
-        ),
-        named,
-        lambda t, e: F.replace(t, e, _code_point(e)),
-    )
-    named = F.when(F.contains(named, F.lit("&#")), numeric).otherwise(named)
-    full = F.replace(named, F.lit("&amp;"), F.lit("&"))
-    return F.when(F.contains(c, F.lit("&")), full).otherwise(c)
+
+    def numeric(t):
+        found = F.regexp_extract_all(
+            t, F.lit("(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), F.lit(1)
+        )
+        return F.aggregate(
+            F.array_distinct(found), t, lambda acc, e: F.replace(acc, e, _code_point(e))
+        )
+
+    def resolve(t):
+        named = reduce(
+            lambda x, kv: F.replace(x, F.lit(f"&{kv[0]};"), F.lit(kv[1])), V.ENTITIES.items(), t
+        )
+        done = bind(named, lambda n: F.when(F.contains(n, F.lit("&#")), numeric(n)).otherwise(n))
+        return F.replace(done, F.lit("&amp;"), F.lit("&"))
+
+    return bind(c, lambda t: F.when(F.contains(t, F.lit("&")), resolve(t)).otherwise(t))
 
 
 def plain(c: Column) -> Column:
@@ -86,8 +88,8 @@ def clean_text(c: Column, keep_lines: bool = False) -> Column:
 
 
 def one_line(c: Column) -> Column:
-    """``clean_text`` with a single parameter, for use inside ``transform``."""
-    return clean_text(c)
+    """One line of text whose character references are resolved already."""
+    return F.btrim(F.regexp_replace(c, f"{WS}+", " "), F.lit(EDGE))
 
 
 def inline(c: Column) -> Column:
@@ -103,8 +105,12 @@ def fold(c: Column) -> Column:
 
 def cut_at_word(c: Column, limit: int, drop: str = ".,;:-") -> Column:
     """At most ``limit`` characters, ending on a whole word."""
-    cut = F.regexp_replace(F.substring(c, 1, limit), r" [^ ]*$", "")
-    return F.when(F.length(c) > limit, F.rtrim(cut, F.lit(drop))).otherwise(c)
+
+    def cut(t):
+        short = F.regexp_replace(F.substring(t, 1, limit), r" [^ ]*$", "")
+        return F.when(F.length(t) > limit, F.rtrim(short, F.lit(drop))).otherwise(t)
+
+    return bind(c, cut)
 
 
 def first_of_each_key(lines: Column, key, keep_unkeyed: bool) -> Column:
@@ -137,11 +143,12 @@ def is_noise_line(line: Column) -> Column:
     bare = F.btrim(
         F.regexp_replace(F.regexp_replace(line, r"^[•\-*]\s*", ""), f"{WS}+", " "), F.lit(EDGE)
     )
-    return (
-        (bare == "")
-        | bare.isin(V.INFERRED_CATEGORIES)
-        | bare.rlike("(?i)" + V.NOISE_LINE)
-        | bare.rlike("(?i)" + V.CATEGORY_HEADING_LINE)
+    return bind(
+        bare,
+        lambda b: (b == "")
+        | b.isin(V.INFERRED_CATEGORIES)
+        | b.rlike("(?i)" + V.NOISE_LINE)
+        | b.rlike("(?i)" + V.CATEGORY_HEADING_LINE),
     )
 
 
@@ -207,13 +214,17 @@ def slug(c: Column, markup: bool = False) -> Column:
     return F.btrim(F.regexp_replace(F.lower(t), r"[^a-z0-9]+", "-"), F.lit("-"))
 
 
-def strip_title(c: Column) -> Column:
-    """Title without deadline, salary and workplace tails."""
-    t = clean_text(c)
+def strip_tail(c: Column) -> Column:
+    """Clean title without deadline, salary and workplace tails."""
+    t = c
     for tail in V.TITLE_TAILS:
         t = F.regexp_replace(t, "(?i)" + tail, "")
     t = F.regexp_replace(t, "(?i)" + V.TITLE_WORKPLACE_TAG, " ")
-    return clean_text(F.regexp_replace(t, r"\s+[-–—|:]\s*$", ""))
+    return one_line(F.regexp_replace(t, r"\s+[-–—|:]\s*$", ""))
+
+
+def strip_title(c: Column) -> Column:
+    return strip_tail(clean_text(c))
 
 
 def content_hash(cols) -> Column:
@@ -252,9 +263,12 @@ def delimited_set(c: Column) -> Column:
 
 
 def truncate_meta(c: Column, limit: int = 160) -> Column:
-    cut = F.rtrim(F.regexp_replace(F.substring(c, 1, limit + 1), r" [^ ]*$", ""), F.lit(".,;:-"))
-    cut = F.coalesce(null_if_empty(cut), F.rtrim(F.substring(c, 1, limit)))
-    return F.when(F.length(c) <= limit, c).otherwise(cut)
+    def cut(t):
+        short = F.rtrim(F.regexp_replace(F.substring(t, 1, limit + 1), r" [^ ]*$", ""), F.lit(".,;:-"))
+        short = F.coalesce(null_if_empty(short), F.rtrim(F.substring(t, 1, limit)))
+        return F.when(F.length(t) <= limit, t).otherwise(short)
+
+    return bind(c, cut)
 
 
 def meta_description(title: Column, company: Column, location: Column, text: Column) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab as V
-from .text import empty_if_null, inline, null_if_empty
+from .text import bind, empty_if_null, inline, null_if_empty
 
 # groups: scheme, authority, path, query, fragment (RFC 3986 appendix B)
 PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
@@ -36,41 +36,60 @@ def is_web_url(c: Column) -> Column:
 
 def remove_dot_segments(p: Column) -> Column:
     """Resolve ``.`` and ``..`` in an absolute path with one fold over its segments."""
-    folded = F.aggregate(
-        F.filter(F.split(p, "/"), lambda s: s != "."),
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(
-            s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    done = F.array_join(folded, "/")
-    tail = F.when(p.rlike(r"/\.{1,2}$"), F.concat(F.rtrim(done, F.lit("/")), F.lit("/"))).otherwise(done)
-    return F.when(p.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), tail).otherwise(p)
+
+    def folded(q):
+        done = F.array_join(
+            F.aggregate(
+                F.filter(F.split(q, "/"), lambda s: s != "."),
+                F.array().cast("array<string>"),
+                lambda acc, s: F.when(
+                    s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))
+                ).otherwise(F.concat(acc, F.array(s))),
+            ),
+            "/",
+        )
+        ends_open = q.rlike(r"/\.{1,2}$")
+        return F.when(ends_open, F.concat(F.rtrim(done, F.lit("/")), F.lit("/"))).otherwise(done)
+
+    return bind(p, lambda q: F.when(q.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), folded(q)).otherwise(q))
 
 
 def resolve(c: Column, base: Column) -> Column:
     """Reference resolution against a base URL."""
-    root = F.concat(part(base, 1), F.lit("://"), part(base, 2))
-    base_path = F.coalesce(null_if_empty(path(base)), F.lit("/"))
-    rel_query = F.when(F.contains(c, F.lit("?")), F.concat(F.lit("?"), query(c))).otherwise(F.lit(""))
-    folder = F.regexp_replace(base_path, r"[^/]*$", "")
-    return (
-        F.when(c.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), c)
-        .when(F.startswith(c, F.lit("//")), F.concat(part(base, 1), F.lit(":"), c))
-        .when(F.startswith(c, F.lit("/")), F.concat(root, remove_dot_segments(path(c)), rel_query))
-        .when(F.startswith(c, F.lit("?")), F.concat(root, base_path, rel_query))
-        .when((c == "") | F.startswith(c, F.lit("#")), base)
-        .otherwise(F.concat(root, remove_dot_segments(F.concat(folder, path(c))), rel_query))
-    )
+
+    def against(t, b):
+        root = F.concat(part(b, 1), F.lit("://"), part(b, 2))
+        base_path = F.coalesce(null_if_empty(path(b)), F.lit("/"))
+        rel_query = F.when(F.contains(t, F.lit("?")), F.concat(F.lit("?"), query(t))).otherwise(F.lit(""))
+        folder = F.regexp_replace(base_path, r"[^/]*$", "")
+        return (
+            F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), t)
+            .when(F.startswith(t, F.lit("//")), F.concat(part(b, 1), F.lit(":"), t))
+            .when(F.startswith(t, F.lit("/")), F.concat(root, remove_dot_segments(path(t)), rel_query))
+            .when(F.startswith(t, F.lit("?")), F.concat(root, base_path, rel_query))
+            .when((t == "") | F.startswith(t, F.lit("#")), b)
+            .otherwise(F.concat(root, remove_dot_segments(F.concat(folder, path(t))), rel_query))
+        )
+
+    return bind(c, lambda t: bind(base, lambda b: against(t, b)))
 
 
 def normalize_url(c: Column, base: Column | None = None) -> Column:
     """Absolute http(s) URL without fragment, or empty."""
-    t = F.regexp_replace(empty_if_null(c), r"[\x00-\x20\x7f]+", "")
-    full = t if base is None else F.when(is_web_url(base), resolve(t, base)).otherwise(t)
-    bare = F.regexp_replace(full, "#.*$", "")
-    usable = (t != "") & (F.length(t) <= 2048) & is_web_url(full)
-    return F.when(usable, bare).otherwise(F.lit(""))
+
+    def absolute(t):
+        if base is None:
+            return t
+        return bind(base, lambda b: F.when(is_web_url(b), resolve(t, b)).otherwise(t))
+
+    def done(t):
+        usable = (t != "") & (F.length(t) <= 2048)
+        return bind(
+            absolute(t),
+            lambda u: F.when(usable & is_web_url(u), F.regexp_replace(u, "#.*$", "")).otherwise(F.lit("")),
+        )
+
+    return bind(F.regexp_replace(empty_if_null(c), r"[\x00-\x20\x7f]+", ""), done)
 
 
 def _pairs(q: Column) -> Column:
@@ -98,23 +117,25 @@ def _encode(pairs: Column) -> Column:
 
 def url_key(c: Column) -> Column:
     """Key under which two spellings of one address agree; empty when not a web URL."""
-    c = empty_if_null(c)
     ignored = F.array(*[F.lit(p) for p in V.TRACKING_PARAMS])
-    pairs = F.filter(
-        F.transform(_pairs(query(c)), lambda p: F.struct(F.lower(p["k"]).alias("k"), p["v"].alias("v"))),
-        lambda p: ~F.array_contains(ignored, p["k"]),
-    )
-    q = null_if_empty(_encode(F.array_sort(pairs)))
-    stem = F.concat(host(c), F.lower(F.rtrim(path(c), F.lit("/"))))
-    return F.when(is_web_url(c), F.concat_ws("?", stem, q)).otherwise(F.lit(""))
+
+    def key(u):
+        pairs = F.filter(
+            F.transform(_pairs(query(u)), lambda p: F.struct(F.lower(p["k"]).alias("k"), p["v"].alias("v"))),
+            lambda p: ~F.array_contains(ignored, p["k"]),
+        )
+        q = null_if_empty(_encode(F.array_sort(pairs)))
+        stem = F.concat(host(u), F.lower(F.rtrim(path(u), F.lit("/"))))
+        return F.when(is_web_url(u), F.concat_ws("?", stem, q)).otherwise(F.lit(""))
+
+    return bind(empty_if_null(c), key)
 
 
 def bad_url(c: Column) -> Column:
-    t = F.lower(F.trim(empty_if_null(c)))
-    starts = F.lit(False)
-    for p in V.BAD_URL_PREFIXES:
-        starts = starts | F.startswith(t, F.lit(p))
-    return starts | t.rlike(r"^(?:[^:/?#]+:)?//(?:www\.)?remoteok\.com/remote-jobs")
+    starts = "|".join(p.replace(".", r"\.") for p in V.BAD_URL_PREFIXES)
+    return F.ltrim(empty_if_null(c)).rlike(
+        rf"(?i)^(?:{starts}|(?:[^:/?#]+:)?//(?:www\.)?remoteok\.com/remote-jobs)"
+    )
 
 
 def job_path(job_id: Column, title: Column, slug_of) -> Column:
@@ -188,5 +209,6 @@ def redact_url(c: Column) -> Column:
 
 
 def safe_url(c: Column) -> Column:
-    t = inline(c)
-    return (t != "") & (F.length(t) <= 2048) & is_web_url(t) & ~bad_url(t)
+    return bind(
+        inline(c), lambda t: (t != "") & (F.length(t) <= 2048) & is_web_url(t) & ~bad_url(t)
+    )

@@ -9,7 +9,7 @@ from ..functions import urls as U
 from ..functions import vocab as V
 from ..functions.quality import is_merged
 from ..functions.text import (
-    clean_text, content_hash, empty_if_null, normalize_block, null_if_empty, one_line, unescape,
+    bind, clean_text, content_hash, empty_if_null, normalize_block, null_if_empty, one_line, unescape,
 )
 from ..session import cut_lineage
 from . import html_pass
@@ -23,9 +23,11 @@ HIDDEN_BLOCK = (
 
 def html_lines(c: Column) -> Column:
     """Markup off, every tag boundary a line break (before cleaning)."""
-    t = F.regexp_replace(empty_if_null(c), SILENT_BLOCK, "")
-    t = F.when(t.rlike("(?i)hidden|display"), F.regexp_replace(t, HIDDEN_BLOCK, "")).otherwise(t)
-    return unescape(F.regexp_replace(t, r"<[^>]+>", "\n"))
+    shown = bind(
+        F.regexp_replace(empty_if_null(c), SILENT_BLOCK, ""),
+        lambda t: F.when(t.rlike("(?i)hidden|display"), F.regexp_replace(t, HIDDEN_BLOCK, "")).otherwise(t),
+    )
+    return unescape(F.regexp_replace(shown, r"<[^>]+>", "\n"))
 
 
 def html_to_text(c: Column) -> Column:
@@ -117,7 +119,7 @@ def anchors(pages: DataFrame) -> DataFrame:
             )
         ).alias("pos", "a"),
     )
-    attrs = F.col("a")["0"]
+    attrs = F.col("a.attrs")
     href = unescape(F.regexp_extract(attrs, r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 1))
     href = F.coalesce(
         null_if_empty(href), F.regexp_extract(attrs, r"(?is)\bhref\s*=\s*'([^']*)'", 1)
@@ -125,7 +127,7 @@ def anchors(pages: DataFrame) -> DataFrame:
     return rows.select(
         "page_id", "page_url", "pos", attrs.alias("attrs"), href.alias("href"),
         U.normalize_url(href, F.col("page_url")).alias("url"),
-        clean_text(F.regexp_replace(F.col("a")["1"], r"<[^>]+>", " ")).alias("text"),
+        clean_text(F.regexp_replace(F.col("a.inner"), r"<[^>]+>", " ")).alias("text"),
     ).filter("url <> ''")
 
 

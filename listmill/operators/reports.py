@@ -3,13 +3,17 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VIEWS = F.count_if(F.col("event_type") == "impression")
-CLICKS = F.count_if(F.col("event_type") == "click")
+def views() -> Column:
+    return F.count_if(F.col("event_type") == "impression")
 
 
-def ctr(views: Column, clicks: Column) -> Column:
+def clicks() -> Column:
+    return F.count_if(F.col("event_type") == "click")
+
+
+def ctr(n_views: Column, n_clicks: Column) -> Column:
     """Clicks per hundred views, one decimal, 0 without views."""
-    return F.when(views > 0, F.round(100.0 * clicks / views, 1)).otherwise(F.lit(0.0))
+    return F.when(n_views > 0, F.round(100.0 * n_clicks / n_views, 1)).otherwise(F.lit(0.0))
 
 
 def event_totals(events: DataFrame) -> DataFrame:
@@ -19,13 +23,13 @@ def event_totals(events: DataFrame) -> DataFrame:
 
 
 def events_by_placement(events: DataFrame) -> DataFrame:
-    rows = events.groupBy("placement_id").agg(VIEWS.alias("impressions"), CLICKS.alias("clicks"))
+    rows = events.groupBy("placement_id").agg(views().alias("impressions"), clicks().alias("clicks"))
     return rows.withColumn("ctr", ctr(F.col("impressions"), F.col("clicks")))
 
 
 def events_by_offer(offers: DataFrame, events: DataFrame) -> DataFrame:
     """Sums for every offer, 0 for one without events; events are reduced before the join."""
-    per_offer = events.groupBy("offer_id").agg(VIEWS.alias("v"), CLICKS.alias("c"))
+    per_offer = events.groupBy("offer_id").agg(views().alias("v"), clicks().alias("c"))
     rows = offers.join(per_offer, offers["id"] == per_offer["offer_id"], "left")
     rows = rows.withColumns(
         {"impressions": F.coalesce("v", F.lit(0)), "clicks": F.coalesce("c", F.lit(0))}
@@ -68,7 +72,7 @@ def dashboard(jobs, users, saved, events, as_of: Column) -> DataFrame:
             F.count_if(F.col("created_at") >= as_of - F.expr("interval 7 days")).alias("new_users"),
         ),
         saved.agg(F.count("*").alias("saved")),
-        events.agg(CLICKS.alias("aff_clicks"), VIEWS.alias("aff_impressions")),
+        events.agg(clicks().alias("aff_clicks"), views().alias("aff_impressions")),
     ]
     row = lambda p: p.select(F.struct("*")).scalar()
     rest = parts[0].select("*", *[row(p).alias(f"r{i}") for i, p in enumerate(parts[1:])])

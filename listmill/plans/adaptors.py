@@ -247,3 +247,37 @@ JOBS_AFTER_SQL = (
 def with_views(*views: str) -> str:
     """WITH clause over the named view definitions, in order."""
     return "WITH " + ", ".join(views) + " "
+
+
+# ---- pages with listing cards, structured data and pagers added to the given markup --------
+_CARD = (
+    "concat('<article class=\"job-card\" data-job-id=\"', {id}, '\"><h2 class=\"title\">{role}</h2><span class=\"company\">Firm ', "
+    "cast(page_id % 20 as varchar(10)), ' Holdings</span><p>Location: Harare</p><p>Closing Date: ', cast(page_id % 28 + 1 as varchar(10)), "
+    "' June 2024. The holder prepares reports &amp; plans for the whole team.</p><a href=\"/jobs/', cast(page_id as varchar(20)), '/{n}?utm_source=feed#top\">View job</a></article>')"
+)
+_LD_JSON = (
+    "concat('<script type=\"application/ld+json\">{\"@graph\":[{\"@type\":\"Organization\",\"name\":\"x\"},{\"@type\":\"JobPosting\",\"title\":\"Software Engineer ', cast(page_id as varchar(20)), "
+    "'\",\"hiringOrganization\":{\"name\":\"Acme ', cast(page_id % 7 as varchar(10)), '\"},\"jobLocation\":[{\"address\":{\"addressLocality\":\"Harare\",\"addressCountry\":\"ZW\"}}],"
+    "\"datePosted\":\"2024-05-01\",\"validThrough\":\"2024-08-', lpad(cast(page_id % 28 + 1 as varchar(10)), 2, '0'), 'T00:00:00Z\",\"description\":\"<p>Build &amp; run.</p>\",\"employmentType\":\"FULL_TIME\"}]}</script>')"
+)
+_EXTRA = (
+    "concat('<section>', "
+    + _CARD.replace("{id}", "concat('A', cast(page_id as varchar(20)))").replace("{role}", "Finance Manager").replace("{n}", "1")
+    + ", "
+    + _CARD.replace("{id}", "concat('B', cast(page_id as varchar(20)))").replace("{role}", "Registered Nurse").replace("{n}", "2")
+    + ", '<nav class=\"pagination\"><a href=\"?page=2\">2</a><a rel=\"next\" href=\"/list/page/3/\">Next</a></nav>"
+    "<a href=\"https://www.linkedin.com/share\">share</a><a href=\"https://forms.example.org/f/', cast(page_id as varchar(20)), '\">Apply now</a></section>')"
+)
+_META = "concat('<meta property=\"og:title\" content=\"Post ', cast(page_id as varchar(20)), ' &amp; more\"><meta content=\"2024-05-0', cast(page_id % 9 + 1 as varchar(10)), '\" name=\"date\">')"
+CRAWL_HTML = (
+    f"replace(replace(html, '</head>', concat({_META}, CASE WHEN page_id % 3 = 0 THEN {_LD_JSON} ELSE '' END, '</head>')), "
+    f"'<footer>', concat(CASE WHEN page_id % 2 = 0 THEN {_EXTRA} ELSE '' END, '<footer>'))"
+)
+
+
+def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored pages; some carry two job cards, a pager and links, some a JSON-LD posting."""
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.expr(CRAWL_HTML).alias("html"))
+
+
+CRAWL_SQL = f"crawl AS (SELECT page_id, url, {CRAWL_HTML} AS html FROM pages)"

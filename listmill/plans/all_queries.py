@@ -2,7 +2,9 @@
 
 import importlib
 
-MODULES = ["search_queries", "report_queries", "quality_queries", "text_queries"]
+MODULES = [
+    "search_queries", "report_queries", "quality_queries", "text_queries", "page_queries", "identity_queries",
+]
 
 
 def load() -> None:
