@@ -21,13 +21,17 @@ HIDDEN_BLOCK = (
 )
 
 
+BLOCK_EDGE = r"(?i)</(?:p|div|section|article|tr|li|h[1-6])\s*>|<(?:br|li|h[1-6])\b[^>]*>"
+
+
 def html_lines(c: Column) -> Column:
-    """Markup off, every tag boundary a line break (before cleaning)."""
+    """Markup off, before cleaning: block edges leave a blank line, other tags a line break."""
     shown = bind(
         F.regexp_replace(empty_if_null(c), SILENT_BLOCK, ""),
         lambda t: F.when(t.rlike("(?i)hidden|display"), F.regexp_replace(t, HIDDEN_BLOCK, "")).otherwise(t),
     )
-    return unescape(F.regexp_replace(shown, r"<[^>]+>", "\n"))
+    blocks = F.regexp_replace(shown, BLOCK_EDGE, "\n\n")
+    return unescape(F.regexp_replace(blocks, r"(?:<[^>]+>)+", "\n"))
 
 
 def html_to_text(c: Column) -> Column:

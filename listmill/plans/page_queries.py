@@ -109,9 +109,17 @@ def apply_links(spark, sf_dir):
     return P.apply_links(A.crawl_pages(spark, sf_dir))
 
 
+def _breaks(t):
+    blocks = f"regexp_replace({t}, {D.q(P.BLOCK_EDGE)}, chr(10) || chr(10), 'g')"
+    return f"regexp_replace({blocks}, '(?:<[^>]+>)+', chr(10), 'g')"
+
+
+_ARTICLE = _breaks("regexp_extract(html, '(?is)<article\\b[^>]*>(.*)</article\\s*>', 1)")
+
+
 def _lines_sql():
     t = r"regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|<![^>]*>', '', 'g')"
-    return f"regexp_replace({t}, '<[^>]+>', chr(10), 'g')"
+    return _breaks(t)
 
 
 _PLAIN = D.clean(_lines_sql())
@@ -150,7 +158,7 @@ def html_to_text(spark, sf_dir):
 @query(
     "main_block",
     A.with_views(
-        "p AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<article\\b[^>]*>(.*)</article\\s*>', 1), '<[^>]+>', chr(10), 'g') AS body FROM pages)",
+        f"p AS (SELECT page_id, {_ARTICLE} AS body FROM pages)",
         *D.block_ctes("b", "p", D.plain("body")),
     )
     + "SELECT page_id, length(block) AS n_chars, md5(block) AS digest FROM b",
@@ -164,7 +172,7 @@ def main_block(spark, sf_dir):
 @query(
     "page_text",
     A.with_views(
-        "p AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<article\\b[^>]*>(.*)</article\\s*>', 1), '<[^>]+>', chr(10), 'g') AS body FROM pages)",
+        f"p AS (SELECT page_id, {_ARTICLE} AS body FROM pages)",
         *D.block_ctes("b", "p", D.plain("body")),
     )
     + "SELECT page_id, md5(block) AS digest FROM b",
