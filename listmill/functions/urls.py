@@ -1,5 +1,7 @@
 """URL columns. Split by pattern so that malformed input gives nulls, never errors."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,68 +146,80 @@ def job_path(job_id: Column, title: Column, slug_of) -> Column:
 
 def public_url(c: Column, base: str) -> Column:
     """Same-host, canonical, non-private URL, or null."""
-    site = F.lit(base.rstrip("/"))
-    raw = F.trim(empty_if_null(c))
-    full = (
-        F.when(raw.rlike("^https?://"), raw)
-        .when(F.startswith(raw, F.lit("/")), F.concat(site, raw))
-        .otherwise(F.concat(site, F.lit("/"), raw))
-    )
-    p = F.coalesce(null_if_empty(path(full)), F.lit("/"))
-    norm = F.concat(F.lit("/"), F.ltrim(p, F.lit("/")))
-    private = F.lit(False)
-    for prefix in V.PRIVATE_PREFIXES:
-        private = private | (norm == prefix.rstrip("/")) | F.startswith(norm, F.lit(prefix))
-    ok = (
-        (raw != "")
-        & is_web_url(full)
-        & (host(full) == host(site))
-        & (query(full) == "")
-        & (part(full, 5) == "")
-        & ~private
-    )
-    return F.when(ok, F.concat(part(site, 1), F.lit("://"), part(site, 2), p))
+    site = base.rstrip("/")
+    root = re.match(r"^[^:/?#]+://[^/?#]*", site).group(0)
+    site_host = root.split("://", 1)[1].lower()
+    # a path below a private prefix, or the prefix itself without its closing slash
+    private = "|".join(f"{p[1:]}|{p.strip('/')}$" for p in V.PRIVATE_PREFIXES)
+
+    def absolute(raw):
+        return (
+            F.when(raw.rlike("^https?://"), raw)
+            .when(F.startswith(raw, F.lit("/")), F.concat(F.lit(site), raw))
+            .when(raw != "", F.concat(F.lit(site + "/"), raw))
+        )
+
+    def check(u):
+        p = F.coalesce(null_if_empty(path(u)), F.lit("/"))
+        ok = (
+            is_web_url(u)
+            & (host(u) == site_host)
+            & (query(u) == "")
+            & (part(u, 5) == "")
+            & ~p.rlike(f"^/*(?:{private})")
+        )
+        return F.when(ok, F.concat(F.lit(root), p))
+
+    return bind(bind(F.trim(empty_if_null(c)), absolute), check)
 
 
 def with_default_params(url: Column, defaults) -> Column:
     """Add query parameters that are not there yet; present ones keep their value."""
-    present = _pairs(query(url))
-    names = F.transform(present, lambda p: p["k"])
-    extra = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    v.isNotNull() & ~F.array_contains(names, F.lit(k)),
-                    F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")),
-                )
-                for k, v in defaults
-            ]
-        )
-    )
-    q = null_if_empty(_encode(F.concat(present, extra)))
-    frag = null_if_empty(part(url, 5))
-    stem = F.concat(part(url, 1), F.lit("://"), part(url, 2), path(url))
-    return F.concat_ws("#", F.concat_ws("?", stem, q), frag)
+
+    def extend(u):
+        def pairs_of(present):
+            names = F.transform(present, lambda p: p["k"])
+            extra = F.array(
+                *[
+                    F.when(
+                        v.isNotNull() & ~F.array_contains(names, F.lit(k)),
+                        F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")),
+                    )
+                    for k, v in defaults
+                ]
+            )
+            # of a repeated parameter the last value counts
+            last = F.filter(
+                present,
+                lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["k"]),
+            )
+            return F.concat(last, F.array_compact(extra))
+
+        q = null_if_empty(_encode(bind(_pairs(query(u)), pairs_of)))
+        stem = F.concat(part(u, 1), F.lit("://"), part(u, 2), path(u))
+        return F.concat_ws("#", F.concat_ws("?", stem, q), null_if_empty(part(u, 5)))
+
+    return bind(url, extend)
 
 
 def redact_url(c: Column) -> Column:
     """URL for logs: sensitive query values hidden, long ones cut, fragment dropped."""
-    c = empty_if_null(c)
-    hidden = "|".join(V.SENSITIVE_KEY_PARTS)
+    hidden = "(?i)" + "|".join(V.SENSITIVE_KEY_PARTS)
 
     def shown(p):
-        v = F.when(F.lower(p["k"]).rlike(hidden), F.lit("[redacted]")).otherwise(
-            F.when(
-                F.length(p["v"]) > 200, F.concat(F.substring(p["v"], 1, 200), F.lit("...[truncated]"))
-            ).otherwise(p["v"])
-        )
+        cut = F.when(
+            F.length(p["v"]) > 200, F.concat(F.substring(p["v"], 1, 200), F.lit("...[truncated]"))
+        ).otherwise(p["v"])
+        v = F.when(p["k"].rlike(hidden), F.lit("[redacted]")).otherwise(cut)
         return F.struct(p["k"].alias("k"), v.alias("v"))
 
-    q = null_if_empty(_encode(F.transform(_pairs(query(c)), shown)))
-    root = F.when(part(c, 1) != "", F.concat(part(c, 1), F.lit("://"), part(c, 2))).otherwise(
-        F.when(part(c, 2) != "", F.concat(F.lit("//"), part(c, 2))).otherwise(F.lit(""))
-    )
-    return F.concat_ws("?", F.concat(root, path(c)), q)
+    def redacted(u):
+        q = null_if_empty(_encode(F.transform(_pairs(query(u)), shown)))
+        scheme_part = F.regexp_extract(u, "^([^:/?#]+:)", 1)
+        authority = F.when(u.rlike("^(?:[^:/?#]+:)?//"), F.concat(F.lit("//"), part(u, 2))).otherwise(F.lit(""))
+        return F.concat_ws("?", F.concat(scheme_part, authority, path(u)), q)
+
+    return bind(empty_if_null(c), redacted)
 
 
 def safe_url(c: Column) -> Column:

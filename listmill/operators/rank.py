@@ -59,11 +59,11 @@ def similar(
         raise ValueError(f"similar() ranks at most {MAX_BASES} viewed listings at a time")
     viewed = _features(jobs.join(F.broadcast(bases.select("id").distinct()), "id", "left_semi"))
     packed = viewed.agg(F.collect_list(F.struct(*viewed.columns)).alias("bases")).scalar()
-    scored = feats.select(
+    scored = feats.withColumn("bases", packed).select(
         F.col("id").alias("candidate_id"), "featured", "created_at",
         F.explode(
             F.transform(
-                packed,
+                "bases",
                 lambda b: F.struct(
                     b["id"].alias("id"),
                     _score(b, {c: F.col(c) for c in feats.columns}).cast("bigint").alias("score"),

@@ -4,7 +4,7 @@ import importlib
 
 MODULES = [
     "search_queries", "report_queries", "quality_queries", "text_queries", "page_queries", "identity_queries",
-    "rank_queries", "merge_queries", "publish_queries",
+    "rank_queries", "merge_queries", "publish_queries", "feed_queries",
 ]
 
 
