@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..session import prepare
+from ..session import prepare, spread
 
 AS_OF = "2024-07-01 00:00:00"
 AS_OF_DATE = "2024-07-01"
@@ -34,6 +34,11 @@ def as_of_date() -> Column:
     return F.lit(AS_OF_DATE).cast("date")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows carry much text."""
+    return spread(table(spark, sf_dir, name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -103,7 +108,7 @@ DUCK_JOBS = _jobs_exprs(
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     return docs.select(*[F.expr(e).alias(n) for n, e in SPARK_JOBS.items()])
 
 
@@ -277,7 +282,7 @@ CRAWL_HTML = (
 
 def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored pages; some carry two job cards, a pager and links, some a JSON-LD posting."""
-    return table(spark, sf_dir, "pages").select("page_id", "url", F.expr(CRAWL_HTML).alias("html"))
+    return texts(spark, sf_dir, "pages").select("page_id", "url", F.expr(CRAWL_HTML).alias("html"))
 
 
 CRAWL_SQL = f"crawl AS (SELECT page_id, url, {CRAWL_HTML} AS html FROM pages)"

@@ -19,7 +19,7 @@ PER_PAYLOAD = 20    # documents per feed payload, so that a payload is of bounde
 
 
 def _items(spark, sf_dir):
-    docs = A.table(spark, sf_dir, "documents")
+    docs = A.texts(spark, sf_dir, "documents")
     k = F.col("doc_id")
     return docs.select(
         k, F.floor(k / PER_PAYLOAD).alias("b"), "lang", "source",
@@ -198,7 +198,7 @@ def raw_records(spark, sf_dir):
 
 
 def source_settings(spark, sf_dir):
-    names = A.table(spark, sf_dir, "documents").select(F.col("source").alias("source_name")).distinct()
+    names = A.texts(spark, sf_dir, "documents").select(F.col("source").alias("source_name")).distinct()
     return names.select(
         "source_name", F.lit("Zimbabwe").alias("default_location"), F.lit("Other").alias("default_category"),
         F.lit(None).cast("string").alias("default_company"),

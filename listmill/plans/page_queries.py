@@ -151,7 +151,7 @@ def page_kind(spark, sf_dir):
 )
 def html_to_text(spark, sf_dir):
     """Page text by column expressions."""
-    rows = A.table(spark, sf_dir, "pages").select("page_id", P.html_to_text(F.col("html")).alias("text"))
+    rows = A.texts(spark, sf_dir, "pages").select("page_id", P.html_to_text(F.col("html")).alias("text"))
     return rows.select("page_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
@@ -165,7 +165,7 @@ def html_to_text(spark, sf_dir):
 )
 def main_block(spark, sf_dir):
     """Text of the main block by column expressions."""
-    rows = A.table(spark, sf_dir, "pages").select("page_id", P.html_to_text(P.main_html(F.col("html"))).alias("text"))
+    rows = A.texts(spark, sf_dir, "pages").select("page_id", P.html_to_text(P.main_html(F.col("html"))).alias("text"))
     return rows.select("page_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
@@ -179,7 +179,7 @@ def main_block(spark, sf_dir):
 )
 def page_text(spark, sf_dir):
     """Main text by the tree pass: boilerplate removed, main container chosen."""
-    rows = P.page_text(P.read_tree(A.table(spark, sf_dir, "pages")))
+    rows = P.page_text(P.read_tree(A.texts(spark, sf_dir, "pages")))
     return rows.select("page_id", F.md5("text").alias("digest"))
 
 
@@ -234,7 +234,7 @@ def detail_records(spark, sf_dir):
 
 def _frontier_inputs(spark, sf_dir):
     """Pages as a link graph: page n of a source lists page 2n and 2n+1, and links to details."""
-    p = A.table(spark, sf_dir, "pages").select(
+    p = A.texts(spark, sf_dir, "pages").select(
         (F.col("page_id") + 1).alias("n"), F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string")).alias("source_name")
     )
     url = lambda n: F.concat(F.lit("https://l.example.com/"), n.cast("string"))

@@ -98,4 +98,4 @@ def redacted_urls(spark, sf_dir):
     bare = F.regexp_replace("url", "#.*$", "")
     join = F.when(F.contains(bare, F.lit("?")), "&").otherwise("?")
     url = F.concat(bare, join, F.lit("session_id=s3cret&k="), F.repeat(F.lit("a"), F.lit(300)), F.lit("#frag"))
-    return A.table(spark, sf_dir, "pages").select("page_id", redact_url(url).alias("url"))
+    return A.texts(spark, sf_dir, "pages").select("page_id", redact_url(url).alias("url"))

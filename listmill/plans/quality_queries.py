@@ -50,7 +50,7 @@ def merged_listings(spark, sf_dir):
 )
 def low_value_titles(spark, sf_dir):
     """First lines of documents that are no usable titles."""
-    docs = A.table(spark, sf_dir, "documents")
+    docs = A.texts(spark, sf_dir, "documents")
     head = docs.select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
     return head.filter(Q.low_value(F.col("title"), F.lit(""))).select("id")
 
@@ -64,7 +64,7 @@ _BAD_VIEW = (
 
 def spam_rows(spark, sf_dir):
     """Documents, some with scraped boilerplate added."""
-    docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "text")
+    docs = A.texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "text")
     body = (
         F.when(F.col("id") % 23 == 0, F.concat("text", F.lit("\nPlease mention the WORD pear and tag RMTUyLjU1LjE3Ny44Mw== here.")))
         .when(F.col("id") % 29 == 0, F.concat("text", F.lit(" See this and similar jobs on LinkedIn.")))
@@ -119,7 +119,7 @@ def safe_url_filter(spark, sf_dir):
         .when(k == 2, F.concat(F.lit(" "), "url"))
         .otherwise(F.col("url"))
     )
-    rows = A.table(spark, sf_dir, "pages").select("page_id", url.alias("url"))
+    rows = A.texts(spark, sf_dir, "pages").select("page_id", url.alias("url"))
     return rows.filter(safe_url(F.col("url"))).select("page_id", "url")
 
 

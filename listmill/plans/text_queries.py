@@ -13,7 +13,7 @@ from .registry import query
 
 @query("clean_text", f"SELECT doc_id, md5({D.clean('text')}) AS one_line, md5({D.clean('text', True)}) AS with_lines FROM documents")
 def clean_text(spark, sf_dir):
-    docs = A.table(spark, sf_dir, "documents")
+    docs = A.texts(spark, sf_dir, "documents")
     return docs.select(
         "doc_id", F.md5(T.clean_text(F.col("text"))).alias("one_line"),
         F.md5(T.clean_text(F.col("text"), keep_lines=True)).alias("with_lines"),
@@ -27,7 +27,7 @@ def clean_text(spark, sf_dir):
 )
 def line_dedupe(spark, sf_dir):
     """Block cleaner: noise and repeated lines out, blank runs collapsed."""
-    rows = A.table(spark, sf_dir, "documents").select("doc_id", T.normalize_block(F.col("text")).alias("block"))
+    rows = A.texts(spark, sf_dir, "documents").select("doc_id", T.normalize_block(F.col("text")).alias("block"))
     return rows.select(
         "doc_id", F.length("block").cast("bigint").alias("n_chars"), F.md5("block").alias("digest"),
         F.md5(T.cut_at_word(F.col("block"), 260)).alias("short"),
@@ -47,14 +47,14 @@ def _schema_sql():
 @query("schema_text", _schema_sql())
 def schema_text(spark, sf_dir):
     """Cleaner of the published text: repeated punctuation lines go too."""
-    return A.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.schema_text(F.col("text"))).alias("digest"))
+    return A.texts(spark, sf_dir, "documents").select("doc_id", F.md5(T.schema_text(F.col("text"))).alias("digest"))
 
 
 @query("safe_paragraphs")
 def safe_paragraphs(spark, sf_dir):
     """Text as escaped HTML paragraphs, source notes dropped."""
     text = F.concat(F.col("text"), F.lit("\n\nSource: feed"))
-    return A.table(spark, sf_dir, "documents").select("doc_id", T.to_paragraphs(T.strip_source(text)).alias("html"))
+    return A.texts(spark, sf_dir, "documents").select("doc_id", T.to_paragraphs(T.strip_source(text)).alias("html"))
 
 
 @query(
@@ -64,7 +64,7 @@ def safe_paragraphs(spark, sf_dir):
 )
 def repeated_lines(spark, sf_dir):
     """Lines that one record holds more than once."""
-    return dropped_lines(A.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return dropped_lines(A.texts(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("slug", A.with_views(A.JOBS_SQL) + f"SELECT id, {D.slug('title')} AS slug, {D.slug('source_url')} AS url_slug FROM jobs")
@@ -111,7 +111,7 @@ def content_hash(spark, sf_dir):
     f"WITH k AS (SELECT doc_id, {D.keywords('text')} AS w FROM documents) SELECT doc_id, len(w) AS n_words, md5({D.set_text('w')}) AS words FROM k",
 )
 def keyword_sets(spark, sf_dir):
-    rows = A.table(spark, sf_dir, "documents").select("doc_id", T.keywords(F.col("text")).alias("w"))
+    rows = A.texts(spark, sf_dir, "documents").select("doc_id", T.keywords(F.col("text")).alias("w"))
     return rows.select(
         "doc_id", F.size("w").cast("bigint").alias("n_words"), F.md5(F.array_join(F.array_sort("w"), " ")).alias("words")
     )
@@ -163,7 +163,7 @@ def category_rules(spark, sf_dir):
 )
 def category_of_texts(spark, sf_dir):
     """Categories inferred from bare document texts."""
-    docs = A.table(spark, sf_dir, "documents")
+    docs = A.texts(spark, sf_dir, "documents")
     return docs.select("doc_id", C.infer_category(F.lit(None).cast("string"), F.col("text"), F.lit("Other")).alias("category"))
 
 
@@ -347,7 +347,7 @@ def summaries(spark, sf_dir):
 def sections(spark, sf_dir):
     """Text under a requirements heading up to the next heading."""
     body = F.concat(F.lit("Requirements\n"), F.col("text"), F.lit("\nHow to apply\nSend a letter."))
-    return A.table(spark, sf_dir, "documents").select("doc_id", C.section(body, V.REQUIREMENT_HEADINGS).alias("section"))
+    return A.texts(spark, sf_dir, "documents").select("doc_id", C.section(body, V.REQUIREMENT_HEADINGS).alias("section"))
 
 
 def _domain_sql():
@@ -384,7 +384,7 @@ def email_domains(spark, sf_dir):
 )
 def email_domains_of_texts(spark, sf_dir):
     """Company names spelled by mail addresses inside document texts."""
-    rows = A.table(spark, sf_dir, "documents").select("doc_id", C.company_from_email(F.col("text")).alias("company"))
+    rows = A.texts(spark, sf_dir, "documents").select("doc_id", C.company_from_email(F.col("text")).alias("company"))
     return rows.filter("company is not null")
 
 

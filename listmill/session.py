@@ -13,6 +13,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores; larger inputs stay as they are.
+
+    Text work is heavy per row, so a file that arrives as one split is worth a round-robin
+    shuffle. On a cluster-sized input the scan has more splits than cores and nothing happens.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def work_dir(spark: SparkSession) -> str:
     """Folder all executors share: ``spark.checkpoint.dir``, or a temporary one when unset."""
     sc = spark.sparkContext
