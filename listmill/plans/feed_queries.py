@@ -278,21 +278,9 @@ def stream_placement_counts(spark, sf_dir):
 LIMIT, WINDOW = 2, 3 * 24 * 3600      # with the test log's rates some requests are rejected
 
 
-def requests(spark, sf_dir):
-    return A.table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("request_id"), F.col("event_type").alias("scope"), F.col("user_id").alias("client"), "ts"
-    )
-
-
-@query("rate_limit_admission")
-def rate_limit_admission(spark, sf_dir):
-    """Sliding-window admission of a request log; rejected requests do not count."""
-    return E.admit(requests(spark, sf_dir), "ts", "request_id", LIMIT, WINDOW)
-
-
 @query("rate_limit_stream")
 def rate_limit_stream(spark, sf_dir):
-    """The same admission as a keyed stream."""
+    """Sliding-window admission of a request log as a keyed stream; rejected requests do not count."""
     e = A.prepare(spark).read.parquet(f"{sf_dir}/events.parquet")
     s = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     log = s.select(F.col("event_id").alias("request_id"), F.col("event_type").alias("scope"), F.col("user_id").alias("client"), "ts")
