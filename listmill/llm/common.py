@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fresh_path
+
 # Fixed values of the contracts: ASCII white space, and words as runs of anything else (Java and Python syntax alike).
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,3 +61,57 @@ def byte_ngrams(data: np.ndarray, order: int, bits: int, salt: int = 0) -> np.nd
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA6B)
     return (h >> np.uint32(32 - bits)).astype(np.int64)
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit numbers (the finaliser of the public splitmix64 generator)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of every word of UTF-8 bytes, words being runs without ASCII white space.
+
+    The hash is 64 bits wide: the word's bytes times a random multiplier for each place, added up and scrambled.
+    """
+    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    at = np.flatnonzero(solid)
+    begins = (np.cumsum(solid) - 1)[starts]
+    lengths = np.diff(np.append(begins, len(at)))
+    place = np.arange(len(at)) - np.repeat(begins, lengths)
+    factors = mix64(np.arange(int(lengths.max()), dtype=np.uint64)) | np.uint64(1)
+    sums = np.add.reduceat((data[at].astype(np.uint64) + np.uint64(1)) * factors[place], begins)
+    return mix64(sums ^ (lengths.astype(np.uint64) << np.uint64(40))), starts
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back: lost executors cost no recomputation, and joins on the
+    result are planned (and split, where a key is hot) from its real sizes."""
+    path = fresh_path(df.sparkSession, "llm")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SIEVE_BITS = 20
+
+
+def sieve(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """Rows of ``rows`` that may have their key among ``wanted``: all that do, and few others while ``wanted`` is small.
+
+    A bitmap of 2**SIEVE_BITS hash slots (128 KB, whatever the input) goes with the scan, so that wide rows which no
+    one wants aren't shuffled for the exact join that follows.
+    """
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << SIEVE_BITS)).cast("int")
+    marks = wanted.select(slot(wanted_key).alias("s")).groupBy(F.shiftright("s", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, s % 64)")).alias("bits"))
+    words = [0] * (1 << SIEVE_BITS - 6)
+    for r in marks.collect():
+        words[r.i] = r.bits
+    bitmap = F.from_json(F.lit(json.dumps(words, separators=(",", ":"))), "array<long>")
+    return rows.where(F.getbit(F.get(bitmap, F.shiftright(slot(key), 6)), slot(key) % 64) == 1)

@@ -17,6 +17,8 @@ _SETTINGS = {
     # one bound for the memory of all state partitions of an executor; the rest of the state is on disk
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # many small state partitions would otherwise each reserve megabytes of disk ahead of use
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 

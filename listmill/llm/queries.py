@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import exact_dedup, language_id, mixing, pii, quality_rules, toxicity
+from . import exact_dedup, language_id, line_dedup, mixing, ngram_jaccard, pii, quality_classifier, quality_rules, toxicity
 from .common import read, remainder
 
 QUERIES = {}
@@ -92,3 +92,24 @@ SELECT doc_id, source, size, source_size, target, whole * size + greatest(0, lea
 @query("op8_mixing", _OP8_SQL)
 def op8(spark, sf_dir: str) -> DataFrame:
     return mixing.mix(read(prepare(spark), sf_dir, "documents"))
+
+
+@query("op10_quality_classifier")
+def op10(spark, sf_dir: str) -> DataFrame:
+    docs = read(prepare(spark), sf_dir, "documents")
+    scored = quality_classifier.rate(docs, quality_classifier.fit(docs, read(spark, sf_dir, "labels")))
+    score = F.col("quality")
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op7_line_dedup")
+def op7(spark, sf_dir: str) -> DataFrame:
+    docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+    out = line_dedup.dedup(docs)
+    kept = F.when(F.length("text") > 0, F.size(F.split("text", "\n", -1))).otherwise(F.lit(0)).cast("long")
+    return out.select("doc_id", "n_lines", kept.alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+@query("op9_ngram_jaccard")
+def op9(spark, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.component_ids(read(prepare(spark), sf_dir, "documents"))
