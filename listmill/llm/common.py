@@ -29,7 +29,8 @@ def bounded_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFram
     """At most ``n`` rows of ``rows``, those whose hashed key comes first: the same rows at every run and partitioning.
 
     Keys are picked from the key column alone, so the wide columns are read for the sample only; the picked keys are
-    at most ``n`` and may therefore be broadcast. Rows with a null key are never picked.
+    at most ``n`` and may therefore be broadcast. Rows with a null key are never picked. For rows to collect: the limit
+    holds even where keys repeat.
     """
     order = F.xxhash64(F.lit(seed), F.col(key))
     keys = rows.select(key).where(F.col(key).isNotNull()).orderBy(order, F.col(key)).limit(n).distinct()
@@ -39,14 +40,15 @@ def bounded_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFram
 def labelled(docs: DataFrame, labels: DataFrame, label: str, n: int, folds: int, held: int, seed: int = 0) -> DataFrame:
     """(doc_id, text, y) of at most ``n`` training documents: labelled 0 or 1 and outside the held-out remainder.
 
-    A document labelled more than once counts with its highest label; null labels are left out.
+    A document labelled more than once counts with its highest label; null labels are left out. Rows that repeat a
+    picked doc_id all come along, so callers that collect set a limit.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (remainder("doc_id", folds) != held))
         .groupBy("doc_id").agg(F.max("y").alias("y"))
     )
     picked = known.where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(n)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").limit(n)
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
 def byte_ngrams(data: np.ndarray, order: int, bits: int, salt: int = 0) -> np.ndarray:

@@ -123,7 +123,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, epochs: int = 12, rate: float =
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, folds: int = 5, held: int = 0) -> PassageModel | None:
     """A model from at most ``max_rows`` documents of ``labels.quality`` outside the held-out remainder (hashed id order)."""
-    rows = sorted(labelled(docs, labels, "quality", max_rows, folds, held, seed=10).collect(), key=lambda r: (r.doc_id, r.y, r.text or ""))
+    rows = sorted(labelled(docs, labels, "quality", max_rows, folds, held, seed=10).limit(max_rows).collect(), key=lambda r: (r.doc_id, r.y, r.text or ""))
     return train([passages(r.text) for r in rows], np.array([r.y for r in rows], float)) if rows else None
 
 

@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20000, folds: int =
     def dense(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t, lexicon) for t in texts])
 
-    got = sorted(rows.where(part >= 6).select("doc_id", (part >= 10).alias("calib"), "y", dense("text").alias("x")).collect(), key=lambda r: (r.doc_id, r.y, r.x))
+    got = sorted(rows.where(part >= 6).select("doc_id", (part >= 10).alias("calib"), "y", dense("text").alias("x")).limit(max_rows).collect(), key=lambda r: (r.doc_id, r.y, r.x))
     if not got:
         return None
     x, y, calib = np.array([r.x for r in got], float), np.array([r.y for r in got], float), np.array([r.calib for r in got])
