@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
@@ -117,3 +117,14 @@ def sieve(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -
         words[r.i] = r.bits
     bitmap = F.from_json(F.lit(json.dumps(words, separators=(",", ":"))), "array<long>")
     return rows.where(F.getbit(F.get(bitmap, F.shiftright(slot(key), 6)), slot(key) % 64) == 1)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__hash`` of the text and ``__copy``, the number of a row among those with its doc_id and text.
+
+    Where no row repeats another, which a narrow grouping tells, every number is 1 and the texts needn't be shuffled.
+    """
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    if hashed.groupBy("doc_id", "__hash").count().where(F.col("count") > 1).isEmpty():
+        return hashed.withColumn("__copy", F.lit(1))
+    return hashed.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy(F.lit(0))))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, sieve, stored, word_hashes
+from .common import WORD, mix64, numbered, sieve, stored, word_hashes
 from .linkage import groups
 
 # Fixed values of the contract: five-word shingles, and 100 * intersection >= 75 * union.
@@ -145,32 +145,33 @@ _NODE = "n_shingles long, node long, tokens array<long>, " + ", ".join(f"p{k} lo
 
 
 def describe(docs: DataFrame, sketch: np.ndarray, light: int) -> DataFrame:
-    """(doc_id, n_shingles, node, tokens, p0..p7): node identifies the set, null if empty; tokens are null where the
+    """(doc_id, text_hash, n_shingles, node, tokens, p0..p7): node identifies the set, null if empty; tokens are null where the
     partition has given those of the same set before."""
-    columns = ["doc_id", "n_shingles", "node", "tokens"] + [f"p{k}" for k in range(PARITY)]
+    columns = ["doc_id", "text_hash", "n_shingles", "node", "tokens"] + [f"p{k}" for k in range(PARITY)]
     broadcast = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for pdf in batches:
             rows = []
-            for doc_id, t in zip(pdf["doc_id"], pdf["text"]):
+            for doc_id, text_hash, t in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"]):
                 s = shingles(t)
                 if not len(s):
-                    rows.append((doc_id, 0, None, None, *[None] * PARITY))
+                    rows.append((doc_id, text_hash, 0, None, None, *[None] * PARITY))
                     continue
                 node = set_hash(s)
                 own = None if node in seen else tokens(s, broadcast.value, light).view(np.int64)
                 seen.add(node)
-                rows.append((doc_id, len(s), node, own, *parity(s)))
-            out = pd.DataFrame(rows, columns=columns, dtype=object)
-            yield out
+                rows.append((doc_id, text_hash, len(s), node, own, *parity(s)))
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, f"doc_id string, {_NODE}").withColumn("doc_id", F.col("doc_id").cast("long"))
+    # ids travel as text, because pandas has no null integer of its own
+    given = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return given.mapInPandas(run, f"doc_id string, text_hash long, {_NODE}").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def component_ids(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles and component_id.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id; and text_hash, node and group (the smallest node).
 
     Two documents link when their shingle sets have Jaccard similarity 3/4 or more; component_id is the smallest doc_id
     that links reach, the document's own included. Documents with equal sets are one class and stand together; other
@@ -205,19 +206,19 @@ def component_ids(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
 
         def verify(some: DataFrame) -> DataFrame:
             with_b = some.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-            with_a = with_b.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
+            pivots = sets.join(some.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+            with_a = with_b.join(pivots.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
             both = F.size(F.array_intersect("ga", "gb"))
             return with_a.where(DENOMINATOR * both >= NUMERATOR * (F.size("ga") + F.size("gb") - both)).select("a", "b")
 
         return verify
 
     labels = groups(postings, nodes.drop("least_id"), may_link, verifier)
-    least = nodes.select("node", "least_id").join(labels, "node")
-    by_label = least.groupBy("label").agg(F.min("least_id").alias("component"))
-    named = labels.join(by_label, "label").select("node", "component")
-    classes = stored(nodes.select("node", "least_id").join(named, "node", "left").select("node", F.coalesce("component", "least_id").alias("component")))
-    out = rows.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    classes = nodes.select("node", "least_id").join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("group"))
+    least = classes.groupBy("group").agg(F.min("least_id").alias("component_id"))
+    named = stored(classes.join(least, "group").select("node", "group", "component_id"))
+    out = rows.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
+    return out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
 
 
 def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -230,5 +231,18 @@ def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     ids = stored(nodes.join(wanted, "node", "left_semi").select(F.col("node").alias("wanted"), F.col("least_id").alias("id")))
     texts = sieve(docs, F.col("doc_id"), ids, F.col("id")).join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("wanted", "text")
-    made = texts.select("wanted", again("text").alias("s")).where(F.col("s.node") == F.col("wanted"))
-    return stored(made.groupBy("wanted").agg(F.first("s.grams").alias("grams")).withColumnRenamed("wanted", "node"))
+    return stored(texts.select("wanted", again("text").alias("s")).where(F.col("s.node") == F.col("wanted")).select(F.col("wanted").alias("node"), "s.grams"))
+
+
+def keep_one(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, that of the smallest doc_id; all columns stay.
+
+    Where several rows of a group have that id, the smallest text hash decides; of equal rows one stays. Rows without
+    shingles belong to no group and all stay.
+    """
+    found = component_ids(docs, bits).where(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = found.groupBy("group").agg(F.first("doc_id").alias("__id"), F.min("text_hash").alias("__of")).select("__id", "__of")
+    has_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__of"))
+    one = numbered(docs.where(has_word)).where(F.col("__copy") == 1).join(stays, match, "left_semi").drop("__hash", "__copy")
+    return one.unionByName(docs.where(~has_word))
