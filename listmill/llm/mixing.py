@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import WORD
+from .common import WORD, numbered
 
 # Fixed values of the contract: weights repeat over the ordered sources, and no source is taken more than so many times.
 WEIGHTS = (1, 2, 3)
@@ -46,7 +46,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target and taken.
+    """One row per row of ``docs``: doc_id, source, text_hash, size, source_size, target and taken.
 
     ``taken`` counts the words that the mix takes of the document: its whole size for every whole repetition of the
     source, and for the fractional one its whole size again if it comes early enough in the seeded order of the source;
@@ -57,12 +57,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     the documents of the one group in which a source's fraction ends are ordered among each other.
 
     Null and empty texts have size 0 and nothing taken; a null source is a source of its own, last in order; rows that
-    repeat a doc_id are separate documents, settled by size; equal rows are alike. Other columns aren't read; no rows
+    repeat a doc_id are separate documents, settled by size and text hash; equal rows are alike. Other columns aren't read; no rows
     give no rows; a table without words has targets 0.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = cut_lineage(
-        docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("key")).withColumn("part", F.substring("key", 1, _PREFIX))
+        docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), size_of(F.col("text")).alias("size"), key.alias("key")).withColumn("part", F.substring("key", 1, _PREFIX))
     )
     goal = targets(rows, weights, max_epochs).withColumn("whole", F.floor(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))).cast("long"))
     goal = goal.withColumn("rest", F.round(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"))
@@ -77,8 +77,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     )
     full, none = F.col("left") >= F.col("part_size"), F.col("left") <= 0
     extra = F.when(full, F.col("size")).otherwise(F.lit(0).cast("long"))
-    within = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     edge = placed.where(~full & ~none).withColumn("gone", F.coalesce(F.sum("size").over(within), F.lit(0)))
     edge = edge.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("gone"))))
     out = placed.where(full | none).withColumn("extra", extra).unionByName(edge.drop("gone"))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
+    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
+
+
+def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
+    """The mixed rows themselves, with the columns of ``docs``: every row as often as the mix takes it whole, and once
+    more with its first words only where a source's fraction ends inside it (words joined by blanks)."""
+    taken = mix(docs, weights, max_epochs, seed).groupBy("doc_id", "source", "text_hash").agg(
+        F.first("size").alias("__size"), F.sum("taken").alias("__taken"), F.count(F.lit(1)).alias("__rows")
+    )
+    taken = taken.where(F.col("__taken") > 0).withColumnsRenamed({"doc_id": "__id", "source": "__source", "text_hash": "__of"})
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__hash") == F.col("__of"))
+    rows = numbered(docs).join(taken, match)
+    # equal rows share what was taken of them: whole repetitions alike, the rest in the order of their numbers
+    whole = F.floor(F.col("__taken") / (F.col("__size") * F.col("__rows")))
+    rest = F.col("__taken") - whole * F.col("__size") * F.col("__rows") - (F.col("__copy") - 1) * F.col("__size")
+    part = F.greatest(F.lit(0), F.least(F.col("__size"), rest)).cast("int")
+    times = F.when(whole > 0, F.sequence(F.lit(1).cast("long"), whole)).otherwise(F.array().cast("array<long>"))
+    times = F.when(part > 0, F.concat(times, F.array(F.lit(0).cast("long")))).otherwise(times)
+    out = rows.withColumn("__part", part).withColumn("__time", F.explode(times))
+    cut = (F.col("__time") == 0) & (F.col("__part") < F.col("__size"))
+    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.greatest(F.lit(1), F.col("__part"))), " ")
+    text = F.when(cut, start).otherwise(F.col("text"))
+    out = out.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*[f"`{c}`" for c in docs.columns])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import exact_dedup, language_id, line_dedup, mixing, ngram_jaccard, pii, quality_classifier, quality_rules, toxicity
+from . import bpe, exact_dedup, language_id, line_dedup, mixing, ngram_jaccard, pii, quality_classifier, quality_rules, toxicity
 from .common import read, remainder
 
 QUERIES = {}
@@ -40,6 +40,18 @@ def op2(spark, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, table)
 
 
+def public_ranks(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[dict[bytes, int], str]:
+    """Rank map and word pattern of an installed public tokenizer."""
+    import public_tokenizers
+
+    return bpe.load_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
+@query("op3_byte_bpe")
+def op3(spark, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(prepare(spark), sf_dir, "documents"), *public_ranks())
+
+
 @query("op4_toxicity")
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = read(prepare(spark), sf_dir, "documents")
@@ -91,7 +103,7 @@ SELECT doc_id, source, size, source_size, target, whole * size + greatest(0, lea
 
 @query("op8_mixing", _OP8_SQL)
 def op8(spark, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(prepare(spark), sf_dir, "documents"))
+    return mixing.mix(read(prepare(spark), sf_dir, "documents")).drop("text_hash")
 
 
 @query("op10_quality_classifier")
@@ -112,4 +124,4 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 @query("op9_ngram_jaccard")
 def op9(spark, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.component_ids(read(prepare(spark), sf_dir, "documents"))
+    return ngram_jaccard.component_ids(read(prepare(spark), sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
