@@ -229,27 +229,26 @@ def form_error(columns) -> Column:
         "remote_status": V.FORM_REMOTE_STATUSES,
         "experience_level": V.FORM_EXPERIENCE_LEVELS,
     }
-    title_of = lambda n: n.replace("_", " ")
-    rules = [(any_of([text(n) == "" for n in V.FORM_REQUIRED]), "All fields are required.")]
+    rules = [(any_of([text(n) == "" for n in V.FORM_REQUIRED]), "required_field_missing")]
     rules += [
-        (F.length(text(n)) > V.FORM_MAX_LENGTHS[n], f"{title_of(n).title()} is too long.") for n in have
+        (F.length(text(n)) > V.FORM_MAX_LENGTHS[n], f"{n}_too_long") for n in have
     ]
     rules += [
-        ((text(n) != "") & ~text(n).isin(allowed), f"Invalid {title_of(n)}.") for n, allowed in enums.items()
+        ((text(n) != "") & ~text(n).isin(allowed), f"{n}_invalid") for n, allowed in enums.items()
     ]
     rules.append(
-        ((text("apply_url") != "") & ~safe_url(text("apply_url")), "Apply URL must be a valid http or https URL.")
+        ((text("apply_url") != "") & ~safe_url(text("apply_url")), "apply_url_invalid")
     )
     rules.append(
         (
             bad_content([text(n) for n in ("title", "company", "summary", "job_description", "requirements")],
                         [text("apply_url")]),
-            "This listing contains unsupported scraped boilerplate or an unsafe apply URL.",
+            "unsafe_scraped_content",
         )
     )
     date_re = r"^\d{4}-\d{2}-\d{2}(?:\s+\d{2}:\d{2}:\d{2})?$"
     rules += [
-        ((text(n) != "") & ~text(n).rlike(date_re), f"Invalid {title_of(n)}.") for n in ("expires_at", "posted_at")
+        ((text(n) != "") & ~text(n).rlike(date_re), f"{n}_invalid") for n in ("expires_at", "posted_at")
     ]
     return F.coalesce(*[F.when(cond, F.lit(msg)) for cond, msg in rules])
 
@@ -265,10 +264,10 @@ def clean_offer(df):
 def offer_error(columns) -> Column:
     text = lambda n: empty_if_null(F.col(n)) if n in columns else F.lit("")
     return F.coalesce(
-        F.when(any_of([text(n) == "" for n in V.OFFER_REQUIRED]), F.lit("All required offer fields must be filled.")),
-        F.when(~safe_url(text("affiliate_url")), F.lit("Affiliate URL must be a valid http or https URL.")),
+        F.when(any_of([text(n) == "" for n in V.OFFER_REQUIRED]), F.lit("required_field_missing")),
+        F.when(~safe_url(text("affiliate_url")), F.lit("affiliate_url_invalid")),
         F.when(
             (text("image_url") != "") & ~safe_url(text("image_url")),
-            F.lit("Image URL must be a valid http or https URL."),
+            F.lit("image_url_invalid"),
         ),
     )

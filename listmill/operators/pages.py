@@ -31,7 +31,8 @@ def html_lines(c: Column) -> Column:
         lambda t: F.when(t.rlike("(?i)hidden|display"), F.regexp_replace(t, HIDDEN_BLOCK, "")).otherwise(t),
     )
     blocks = F.regexp_replace(shown, BLOCK_EDGE, "\n\n")
-    return unescape(F.regexp_replace(blocks, r"(?:<[^>]+>)+", "\n"))
+    # tags become one marker each, and runs of markers collapse: a repeated group would recurse once per tag
+    return unescape(F.regexp_replace(F.regexp_replace(blocks, r"<[^>]+>", "\x01"), "\x01+", "\n"))
 
 
 def html_to_text(c: Column) -> Column:

@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 from ..functions import vocab as V
 from ..functions.quality import is_public
 from ..functions.text import delimited_set, empty_if_null, keywords, tag_keys
+from ..session import cut_lineage
+from .scan import number_rows
 
-MAX_BASES = 256     # viewed listings ranked in one pass; their word sets are broadcast
+BASES_PER_SCAN = 256     # viewed listings ranked in one scan; their word sets are broadcast
 
 
 def _features(df: DataFrame) -> DataFrame:
@@ -47,17 +49,29 @@ def similar(
 ) -> DataFrame:
     """The k most similar other listings of each base listing (``bases``: ids being viewed).
 
-    Every listing is scored against every base, as the ranking rule wants, in one scan: the
-    bases are at most ``MAX_BASES`` rows and travel as one array. Ranking keeps k rows per
-    base before the shuffle. A base with fewer than k scored rows is filled by recency;
-    rows without a score rank last, which is that fill.
+    Every listing is scored against every base, as the ranking rule wants. The bases are a
+    stated query set of any size, taken in blocks: one scan a block, whose at most
+    ``BASES_PER_SCAN`` rows travel as one array. Ranking keeps k rows per base before the
+    shuffle. A base with fewer than k scored rows is filled by recency; rows without a score
+    rank last, which is that fill.
     """
     rows = jobs.filter(is_public(jobs, as_of_date)) if public_only else jobs
     feats = _features(rows)
-    n = bases.select("id").distinct().limit(MAX_BASES + 1).count()
-    if n > MAX_BASES:
-        raise ValueError(f"similar() ranks at most {MAX_BASES} viewed listings at a time")
-    viewed = _features(jobs.join(F.broadcast(bases.select("id").distinct()), "id", "left_semi"))
+    ids = bases.select("id").distinct()
+    total = ids.count()
+    if total <= BASES_PER_SCAN:
+        return _similar_block(jobs, feats, ids, k)
+    block = F.floor((F.col("n") - 1) / BASES_PER_SCAN)
+    numbered = cut_lineage(number_rows(ids, "id", "n").select("id", block.alias("block")))
+    blocks = [
+        _similar_block(jobs, feats, numbered.filter(F.col("block") == b).select("id"), k)
+        for b in range(-(-total // BASES_PER_SCAN))
+    ]
+    return reduce(DataFrame.unionByName, blocks)
+
+
+def _similar_block(jobs: DataFrame, feats: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    viewed = _features(jobs.join(F.broadcast(ids), "id", "left_semi"))
     packed = viewed.agg(F.collect_list(F.struct(*viewed.columns)).alias("bases")).scalar()
     scored = feats.withColumn("bases", packed).select(
         F.col("id").alias("candidate_id"), "featured", "created_at",

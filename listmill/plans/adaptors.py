@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..session import prepare, spread
+from ..session import prepare
 
 AS_OF = "2024-07-01 00:00:00"
 AS_OF_DATE = "2024-07-01"
@@ -36,7 +36,7 @@ def as_of_date() -> Column:
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose rows carry much text."""
-    return spread(table(spark, sf_dir, name))
+    return table(spark, sf_dir, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Feeds to raw records, the mapped records, and the event streams."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -288,20 +290,32 @@ def rate_limit_stream(spark, sf_dir):
 
 
 class SnapshotStore:
-    """Versioned snapshots in a shared folder: one per micro-batch, numbered by batch id."""
+    """Versioned snapshots in a shared folder; what is current is read from its commit log.
+
+    A batch starts from the last snapshot of an earlier batch and writes to a folder of its own,
+    so a batch that is tried again repeats the same work and supersedes its first try.
+    """
+
+    LOG = "batch bigint, at timestamp, folder string"
 
     def __init__(self, spark, root, first):
         self.spark, self.root = spark, root
-        first.write.mode("overwrite").parquet(f"{root}/snapshot=-1")
-        self.latest = -1
+        self._log(-1, first)
+
+    def _log(self, batch_id, snapshot):
+        folder = f"{self.root}/snapshot={batch_id}-{uuid.uuid4().hex}"
+        snapshot.write.parquet(folder)
+        entry = self.spark.createDataFrame([(batch_id, folder)], "batch bigint, folder string")
+        entry.select("batch", F.current_timestamp().alias("at"), "folder").write.mode("append").parquet(f"{self.root}/log")
 
-    def read(self):
-        return self.spark.read.schema(schema.JOBS).parquet(f"{self.root}/snapshot={self.latest}")
+    def read(self, before=2**62):
+        log = self.spark.read.schema(self.LOG).parquet(f"{self.root}/log").filter(F.col("batch") < before)
+        folder = log.agg(F.max_by("folder", F.struct("batch", "at")).alias("f")).first().f
+        return self.spark.read.schema(schema.JOBS).parquet(folder)
 
     def commit(self, batch_id, snapshot, actions, checked):
-        snapshot.write.mode("overwrite").parquet(f"{self.root}/snapshot={batch_id}")
+        self._log(batch_id, snapshot)
         actions.groupBy("action").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.root}/counts/batch={batch_id}")
-        self.latest = batch_id
 
 
 @query("incremental_ingest")

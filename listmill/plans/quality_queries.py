@@ -173,17 +173,17 @@ def validation_reasons(spark, sf_dir):
 
 
 def _form_sql():
-    rules = [(" OR ".join(f"coalesce({n}, '') = ''" for n in V.FORM_REQUIRED), "All fields are required.")]
-    rules += [(f"length(coalesce({n}, '')) > {m}", f"{n.replace('_', ' ').title()} is too long.") for n, m in V.FORM_MAX_LENGTHS.items()]
+    rules = [(" OR ".join(f"coalesce({n}, '') = ''" for n in V.FORM_REQUIRED), "required_field_missing")]
+    rules += [(f"length(coalesce({n}, '')) > {m}", f"{n}_too_long") for n, m in V.FORM_MAX_LENGTHS.items()]
     for n, allowed in (
         ("category", V.CATEGORIES), ("employment_type", V.FORM_EMPLOYMENT_TYPES),
         ("remote_status", V.FORM_REMOTE_STATUSES), ("experience_level", V.FORM_EXPERIENCE_LEVELS),
     ):
-        rules.append((f"coalesce({n}, '') <> '' AND {n} NOT IN ({', '.join(D.q(a) for a in allowed)})", f"Invalid {n.replace('_', ' ')}."))
-    rules.append((f"NOT ({D.is_web(D.inline('apply_url'))} AND NOT {D.bad_url(D.inline('apply_url'))})", "Apply URL must be a valid http or https URL."))
-    rules.append((D.bad_row(D.BAD_COLS[:-1]), "This listing contains unsupported scraped boilerplate or an unsafe apply URL."))
+        rules.append((f"coalesce({n}, '') <> '' AND {n} NOT IN ({', '.join(D.q(a) for a in allowed)})", f"{n}_invalid"))
+    rules.append((f"NOT ({D.is_web(D.inline('apply_url'))} AND NOT {D.bad_url(D.inline('apply_url'))})", "apply_url_invalid"))
+    rules.append((D.bad_row(D.BAD_COLS[:-1]), "unsafe_scraped_content"))
     for n in ("expires_at", "posted_at"):
-        rules.append((f"coalesce({n}, '') <> '' AND NOT regexp_matches({n}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}(?:\\s+\\d{{2}}:\\d{{2}}:\\d{{2}})?$')", f"Invalid {n.replace('_', ' ')}."))
+        rules.append((f"coalesce({n}, '') <> '' AND NOT regexp_matches({n}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}(?:\\s+\\d{{2}}:\\d{{2}}:\\d{{2}})?$')", f"{n}_invalid"))
     return D.first_of([(f"({c})", D.q(m)) for c, m in rules])
 
 
@@ -200,9 +200,9 @@ _OFFER_SAFE = "({w} AND NOT {b})"
 @query(
     "offer_validation",
     A.with_views(A.OFFERS_SQL)
-    + "SELECT id, CASE WHEN " + " OR ".join(f"coalesce({n}, '') = ''" for n in V.OFFER_REQUIRED) + " THEN 'All required offer fields must be filled.' "
-    + f"WHEN NOT ({D.is_web('affiliate_url')} AND NOT {D.bad_url('affiliate_url')}) THEN 'Affiliate URL must be a valid http or https URL.' "
-    + f"WHEN image_url <> '' AND NOT {D.is_web('image_url')} THEN 'Image URL must be a valid http or https URL.' END AS error, cast(priority_score AS bigint) AS priority_score FROM offers",
+    + "SELECT id, CASE WHEN " + " OR ".join(f"coalesce({n}, '') = ''" for n in V.OFFER_REQUIRED) + " THEN 'required_field_missing' "
+    + f"WHEN NOT ({D.is_web('affiliate_url')} AND NOT {D.bad_url('affiliate_url')}) THEN 'affiliate_url_invalid' "
+    + f"WHEN image_url <> '' AND NOT {D.is_web('image_url')} THEN 'image_url_invalid' END AS error, cast(priority_score AS bigint) AS priority_score FROM offers",
 )
 def offer_validation(spark, sf_dir):
     """First failed rule of each offer row, after field cleaning."""

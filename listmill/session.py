@@ -1,6 +1,5 @@
 """Session helpers: session settings the results depend on, and the shared work folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,23 +12,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores; larger inputs stay as they are.
-
-    Text work is heavy per row, so a file that arrives as one split is worth a round-robin
-    shuffle. On a cluster-sized input the scan has more splits than cores and nothing happens.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def work_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``, or a temporary one when unset."""
+    """Folder all executors share: ``spark.checkpoint.dir``, or one in the warehouse when unset."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
         known = sc._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="listmill-")
+        folder = known.get() if known.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
     return folder
