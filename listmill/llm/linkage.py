@@ -30,14 +30,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     size = _mark(now)
+    few = tasks_for(now, size[0])
+    now = now.coalesce(few)
     while size[0]:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        near = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m"))
-        large = both.join(near, "v").where(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.col("m").alias("u"))
-        large = large.unionByName(near.where(F.col("m") < F.col("v")).select("v", F.col("m").alias("u"))).where(F.col("v") != F.col("u")).distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where(F.col("v") != F.col("u"))
-        new = stored(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct())
+        near = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m")).coalesce(few)
+        large = both.join(near, "v").coalesce(few).where(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.col("m").alias("u"))
+        large = large.unionByName(near.where(F.col("m") < F.col("v")).select("v", F.col("m").alias("u"))).where(F.col("v") != F.col("u")).distinct().coalesce(few)
+        least = large.groupBy("v").agg(F.min("u").alias("m")).coalesce(few)
+        small = large.join(least, "v").coalesce(few).select(F.col("u").alias("v"), F.col("m").alias("u")).where(F.col("v") != F.col("u"))
+        new = stored(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct().coalesce(few))
         after = _mark(new)
         now = new
         if after == size:
@@ -46,6 +48,11 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("v").alias("node"), F.col("u").alias("label")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())
 
 
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """Tasks for narrow rows: one for every quarter of a million, and at least one a core."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, rows // 250_000 + 1)
+
+
 def _mark(edges: DataFrame) -> tuple[int, int]:
     got = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
     return got.n, int(got.h)
@@ -56,28 +63,35 @@ def groups(
     nodes: DataFrame,
     may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+    quick: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
 ) -> DataFrame:
     """(node, label) of all nodes in a group of two or more.
 
-    postings: (token, node), repeated rows allowed. nodes: one row a node, ``node`` and the columns ``may_link`` reads.
+    postings: (token, node) and the columns that ``quick`` reads, repeated rows allowed. nodes: one row a node, ``node`` and the columns ``may_link`` reads.
     may_link(x, y): a condition that holds for every link; x and y give the columns of either end.
+    quick: such a condition too, on what the postings carry; star pairs that fail it aren't looked at further.
     verifier: gets all pairs (a, b) that may be asked about and returns the function from some of them to the links.
     """
-    listed = postings.select("token", "node", F.min("node").over(Window.partitionBy("token")).alias("pivot"))
-    star = stored(listed.where(F.col("node") != F.col("pivot")).distinct())
+    carried = [c for c in postings.columns if c not in ("token", "node")]
+    least = F.min(F.struct("node", *carried)).over(Window.partitionBy("token"))
+    listed = postings.withColumn("least", least).where(F.col("node") != F.col("least.node"))
+    able = quick(lambda c: F.col(f"least.{c}"), F.col)
+    star = stored(listed.select("token", "node", F.col("least.node").alias("pivot"), able.alias("able")).distinct())
     attributes = [c for c in nodes.columns if c != "node"]
 
     def end(side: str) -> DataFrame:
         return nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in attributes])
 
     bound = may_link(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
-    pairs = star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = star.where("able").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     pairs = stored(pairs.join(end("b"), "b").join(end("a"), "a").where(bound).select("a", "b"))
+    few = tasks_for(pairs, pairs.count())
+    pairs = pairs.coalesce(few)
     verify = verifier(pairs)
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stored(verify(first))
+    links = stored(verify(first).coalesce(few))
     labels = components(links)
-    more = stored(verify(_apart(pairs, labels)))
+    more = stored(verify(_apart(pairs, labels).coalesce(few)).coalesce(few))
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)

@@ -191,14 +191,16 @@ def component_ids(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     nodes = stored(
         found.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), *[F.first(f"p{k}").alias(f"p{k}") for k in range(PARITY)])
     )
-    postings = found.where(F.col("tokens").isNotNull()).select("node", F.explode("tokens").alias("token"))
+    postings = found.where(F.col("tokens").isNotNull()).select("node", F.col("n_shingles").alias("n"), F.explode("tokens").alias("token"))
+
+    def sizes_fit(x, y):
+        return NUMERATOR * F.greatest(x("n"), y("n")) <= DENOMINATOR * F.least(x("n"), y("n"))
 
     def may_link(x, y):
         n, m = x("n"), y("n")
         differ = sum((F.bit_count(x(f"p{k}").bitwiseXOR(y(f"p{k}"))) for k in range(1, PARITY)), F.bit_count(x("p0").bitwiseXOR(y("p0"))))
-        sizes_fit = (NUMERATOR * F.greatest(n, m) <= DENOMINATOR * F.least(n, m))
         # |A - B| + |B - A| <= (|A| + |B|) (1 - t) / (1 + t)
-        return sizes_fit & ((NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (n + m))
+        return sizes_fit(x, y) & ((NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (n + m))
 
     def verifier(pairs: DataFrame):
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -213,7 +215,7 @@ def component_ids(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
 
         return verify
 
-    labels = groups(postings, nodes.drop("least_id"), may_link, verifier)
+    labels = groups(postings, nodes.drop("least_id"), may_link, verifier, sizes_fit)
     classes = nodes.select("node", "least_id").join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("group"))
     least = classes.groupBy("group").agg(F.min("least_id").alias("component_id"))
     named = stored(classes.join(least, "group").select("node", "group", "component_id"))
