@@ -778,7 +778,7 @@ def make_summary(title: Column, text: Column, max_chars: int = 700, own_names: s
         )
         titles = F.array(F.lower(clean_text(title)), F.lower(short_title))
         kept = first_of_each_key(useful(lines, titles), fold, keep_unkeyed=False)
-        made = bind(bind(kept, choose), cut)
+        made = bind(normalize_block(bind(kept, choose)), cut)
         return F.when(block == "", title).otherwise(F.coalesce(null_if_empty(made), short_title))
 
     return bind(

@@ -31,6 +31,10 @@ def closed(tags: Column, expires_at: Column, as_of_date: Column) -> Column:
     return marked | (filled & (day < as_of_date))
 
 
+# a whole ISO date or time; the validator takes anything else as not expired
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d{1,6})?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$"
+
+
 def expired(expires_at: Column, as_of_date: Column) -> Column:
     day = F.try_to_date(F.substring(expires_at, 1, 10), "yyyy-MM-dd")
     return F.coalesce((F.trim(empty_if_null(expires_at)) != "") & (day < as_of_date), F.lit(False))
@@ -195,7 +199,7 @@ def reject_reasons(as_of_date: Column, allowed_locations: Column, skip_expired:
             ("probable_merged_listing", is_merged(c("title"), body)),
             ("apply_url_invalid", ~is_web_url(c("apply_url"))),
             ("source_url_invalid", ~is_web_url(c("source_url"))),
-            ("expired", skip_expired & expired(c("expires_at"), as_of_date)),
+            ("expired", skip_expired & F.coalesce(c("expires_at").rlike(ISO_TIME), F.lit(False)) & expired(c("expires_at"), as_of_date)),
             ("outside_allowed_locations", outside),
             (
                 "remote_location_restricted",

@@ -31,9 +31,10 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def visibility(before: DataFrame, after: DataFrame, as_of_date: Column) -> DataFrame:
     """Listings to announce: hidden now, or new or changed and public now."""
-    b = before.select("id", _material(before).alias("b"), is_public(before, as_of_date).alias("was"))
+    b = before.select(
+        "id", F.col("title").alias("old_title"), _material(before).alias("b"), is_public(before, as_of_date).alias("was")
+    )
     a = after.select("id", "title", _material(after).alias("a"), is_public(after, as_of_date).alias("now"))
-    b = b.join(before.select("id", F.col("title").alias("old_title")), "id")
     rows = b.join(a, "id", "full_outer")
     event = (
         F.when(F.coalesce("was", F.lit(False)) & F.col("a").isNotNull() & ~F.col("now"), "hidden")

@@ -231,7 +231,7 @@ def ingest_counters(spark, sf_dir):
 
 @query("reject_reason_counts")
 def reject_reason_counts(spark, sf_dir):
-    return R.reason_counts(cut_lineage(_checked(spark, sf_dir)))
+    return R.reason_counts(cut_lineage(_checked(spark, sf_dir).select("reasons")))
 
 
 @query("url_counts", A.with_views(A.JOBS_SQL) + "SELECT count(DISTINCT source_url) AS n_urls FROM jobs")
