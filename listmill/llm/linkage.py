@@ -7,6 +7,9 @@ the caller. Groups are wanted, not pairs, and that allows the work to stay near
 2. then those of the other star pairs whose ends aren't in one group yet;
 3. last, in lists that still touch several groups, the pairs across groups. A pair inside a group can't change it.
 
+Pairs are asked about only if they share as many lists as a link must. Steps 1 and 2 count the lists with the smallest
+node as one end, step 3 all of them, so what the first two pass over comes up in the third.
+
 Every pair that shares a list is thus verified, or skipped because both ends are in one group already, or ruled out by
 the caller's cheap bound; no list, however long, is cut. Everything is joins, windows and grouping by Spark; long groups
 spill and hot keys of joins may be split.
@@ -64,12 +67,15 @@ def groups(
     may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
     quick: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
+    lists: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] = lambda x, y: F.lit(1),
 ) -> DataFrame:
     """(node, label) of all nodes in a group of two or more.
 
-    postings: (token, node) and the columns that ``quick`` reads, repeated rows allowed. nodes: one row a node, ``node`` and the columns ``may_link`` reads.
+    postings: (token, node) and the columns that ``quick`` reads, repeated rows allowed. nodes: one row a node, ``node``
+    and the columns ``may_link`` and ``lists`` read.
     may_link(x, y): a condition that holds for every link; x and y give the columns of either end.
     quick: such a condition too, on what the postings carry; star pairs that fail it aren't looked at further.
+    lists: the least number of lists that the ends of a link share.
     verifier: gets all pairs (a, b) that may be asked about and returns the function from some of them to the links.
     """
     carried = [c for c in postings.columns if c not in ("token", "node")]
@@ -82,16 +88,18 @@ def groups(
     def end(side: str) -> DataFrame:
         return nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in attributes])
 
-    bound = may_link(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
-    pairs = star.where("able").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = stored(pairs.join(end("b"), "b").join(end("a"), "a").where(bound).select("a", "b"))
+    ends = lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")
+    bound, least_lists = may_link(*ends), lists(*ends).alias("least_lists")
+    pairs = star.where("able").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    pairs = stored(pairs.join(end("b"), "b").join(end("a"), "a").where(bound).select("a", "b", "shared", least_lists))
     few = tasks_for(pairs, pairs.count())
     pairs = pairs.coalesce(few)
-    verify = verifier(pairs)
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    likely = pairs.where("shared >= least_lists").select("a", "b", "shared")
+    verify = verifier(likely)
+    first = likely.groupBy("b").agg(F.max_by("a", F.struct("shared", F.bitwise_not("a"))).alias("a")).select("a", "b")
     links = stored(verify(first).coalesce(few))
     labels = components(links)
-    more = stored(verify(_apart(pairs, labels).coalesce(few)).coalesce(few))
+    more = stored(verify(_apart(likely, labels).coalesce(few)).coalesce(few))
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
@@ -102,10 +110,12 @@ def groups(
     longer = mixed.join(star.groupBy("token").count().where(F.col("count") > 1).select("token"), "token", "left_semi").select("token", "pivot")
     open_ = stored(members.join(longer, "token").where(F.col("node") != F.col("pivot")).join(nodes, "node"))
     side = lambda s: open_.select("token", F.col("node").alias(s), F.col("label").alias(f"{s}_label"), *[F.col(c).alias(f"{s}_{c}") for c in attributes])
-    across = stored(
+    beside = (
         side("a").join(side("b"), "token")
-        .where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & bound).select("a", "b").distinct()
+        .where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & bound).select("a", "b", F.lit(1).cast("long").alias("shared"), least_lists)
     )
+    counted = beside.unionByName(_apart(pairs, labels)).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least_lists").alias("least_lists"))
+    across = stored(counted.where("shared >= least_lists").select("a", "b"))
     if across.isEmpty():
         return labels
     rest = stored(verifier(across)(across))
@@ -116,4 +126,4 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends aren't in one group."""
     with_a = pairs.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
     with_b = with_a.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-    return with_b.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    return with_b.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select(*pairs.columns)

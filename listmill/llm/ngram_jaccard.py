@@ -202,6 +202,14 @@ def component_ids(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
         # |A - B| + |B - A| <= (|A| + |B|) (1 - t) / (1 + t)
         return sizes_fit(x, y) & ((NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (n + m))
 
+    def lists(x, y):
+        """Common shingles outside of both prefixes are at most those after the prefix of the end whose prefix stops
+        first; all others are lists that both are in."""
+        after = lambda n: F.ceil(n * NUMERATOR / DENOMINATOR) - 1
+        both = F.ceil((x("n") + y("n")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+        large = F.greatest(F.lit(1), both - F.greatest(after(x("n")), after(y("n"))))
+        return F.when((x("n") <= light) & (y("n") <= light), F.lit(1)).otherwise(large).cast("long")
+
     def verifier(pairs: DataFrame):
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         sets = sets_of(ends, nodes, base)
@@ -215,7 +223,7 @@ def component_ids(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
 
         return verify
 
-    labels = groups(postings, nodes.drop("least_id"), may_link, verifier, sizes_fit)
+    labels = groups(postings, nodes.drop("least_id"), may_link, verifier, sizes_fit, lists)
     classes = nodes.select("node", "least_id").join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("group"))
     least = classes.groupBy("group").agg(F.min("least_id").alias("component_id"))
     named = stored(classes.join(least, "group").select("node", "group", "component_id"))
