@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -128,3 +130,15 @@ def numbered(docs: DataFrame) -> DataFrame:
     if hashed.groupBy("doc_id", "__hash").count().where(F.col("count") > 1).isEmpty():
         return hashed.withColumn("__copy", F.lit(1))
     return hashed.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy(F.lit(0))))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs run inside hand Python ``rows`` rows at a time, which bounds a worker's memory where texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, mix64, numbered, sieve, stored, word_hashes
+from .common import WORD, mix64, numbered, sieve, small_batches, stored, word_hashes
 from .linkage import groups
 
 # Fixed values of the contract: five-word shingles, and 100 * intersection >= 75 * union.
@@ -181,7 +181,12 @@ def component_ids(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
 
     Sets are known by 64-bit hashes: the odds of a wrong link are those of two hashes colliding.
     """
-    base = docs.select("doc_id", "text")
+    # all Python runs in jobs that end here
+    with small_batches(docs.sparkSession):
+        return _component_ids(docs.select("doc_id", "text"), bits)
+
+
+def _component_ids(base: DataFrame, bits: int) -> DataFrame:
     sketch, sizes = count_shingles(base, bits)
     total = float(sketch.sum())
     meets = max(0.0, (float((sketch.astype(float) ** 2).sum()) - total**2 / len(sketch)) / total - 1) if total else 0.0
