@@ -1,7 +1,7 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words, and decoding by joining the pieces.
 
 The fold was first written in Spark's higher-order functions (array state, literal rank table of pairs). It gave the
-right ids, but took 0.7 ms a distinct word, which alone is more than twice the CPU budget; see README. Here the same
+right ids, but took at least 0.7 ms a distinct word, by estimate over twice the CPU budget; see README. Here the same
 fold runs on the distinct words of each task in Arrow functions, with the rank map as a literal that travels with them.
 """
 
