@@ -117,7 +117,7 @@ def op10(spark, sf_dir: str) -> DataFrame:
 @query("op7_line_dedup")
 def op7(spark, sf_dir: str) -> DataFrame:
     docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
-    out = line_dedup.dedup(docs)
+    out = line_dedup.dedup(docs, whole=True)
     kept = F.when(F.length("text") > 0, F.size(F.split("text", "\n", -1))).otherwise(F.lit(0)).cast("long")
     return out.select("doc_id", "n_lines", kept.alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 

@@ -87,6 +87,43 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def misspelt(rng, text, n):
+    c = list(text)
+    for p in rng.sample([k for k, x in enumerate(c) if x != " "], n):
+        c[p] = rng.choice("qxz")
+    return "".join(c)
+
+
+def test_line_candidates_find_what_edit_distance_links(spark):
+    """Recall of candidates against plain edit distance, on lines of 5 to 60 words of random letters."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randrange(2, 10)))
+    least = {"one": 0.99, "5%": 0.8, "10%": 0.4}
+    rows = []
+    for i in range(100):
+        a = " ".join(word() for _ in range(5 + i * 55 // 99))
+        for name, n in (("one", 1), ("5%", max(1, len(a) // 20)), ("10%", len(a) // 10)):
+            b = misspelt(rng, a, n)
+            if 0 < levenshtein(a, b) * 10 <= max(len(a), len(b)):
+                rows.append((name, a, b))
+    df = spark.createDataFrame(rows, "name string, a string, b string")
+    lines = df.select(F.explode(F.array("a", "b")).alias("plain")).distinct().select(F.xxhash64("plain").alias("key"), F.length("plain").alias("size"), "plain")
+    tokens = line_dedup.line_tokens(lines).groupBy("node").agg(F.collect_set("token").alias("t")).collect()
+    tokens = {r.node: set(r.t) for r in tokens}
+    keys = dict(zip(both := sorted({x for r in rows for x in r[1:]}), hashes_of(spark, both)))
+    for name, share in least.items():
+        met = [bool(tokens.get(keys[a], set()) & tokens.get(keys[b], set())) for n, a, b in rows if n == name]
+        assert len(met) > 80 and np.mean(met) >= share, (name, np.mean(met))
+
+
+def test_a_misspelt_line_goes(spark):
+    rng = random.Random(12)
+    lines = [prose(rng, 5 + k) for k in range(0, 56, 5)]
+    df = table(spark, [row(k, line) for k, line in enumerate(lines)] + [row(100 + k, misspelt(rng, line, 1)) for k, line in enumerate(lines)])
+    out = {r.doc_id: r.text for r in line_dedup.dedup(df, whole=True).collect()}
+    assert [out[k] for k in range(len(lines))] == lines and {out[100 + k] for k in range(len(lines))} == {""}
+
+
 def hashes(spark, docs):
     return hashes_of(spark, [r[1] for r in docs])
 
