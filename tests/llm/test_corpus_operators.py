@@ -124,6 +124,15 @@ def test_a_misspelt_line_goes(spark):
     assert [out[k] for k in range(len(lines))] == lines and {out[100 + k] for k in range(len(lines))} == {""}
 
 
+def test_short_and_blank_free_lines_go(spark):
+    long = "".join(chr(0x4E00 + k * 37 % 5000) for k in range(60))
+    first, again = ["Home", "a\tb", "", "contact us today", long], ["home ", "A\tB", "", "contact us todey", long[:30] + "x" + long[31:]]
+    df = table(spark, [row(1, "\n".join(first)), row(2, "\n".join(again)), row(3, "hole\n\nhome")])
+    out = {r.doc_id: r.text for r in line_dedup.dedup(df, whole=True).collect()}
+    # four characters allow no edit
+    assert out == {1: "\n".join(first), 2: "", 3: "hole\n"}
+
+
 def hashes(spark, docs):
     return hashes_of(spark, [r[1] for r in docs])
 
