@@ -14,6 +14,8 @@ MAX_EPOCHS = 3
 
 # hexadecimal digits of the order by which a source is divided
 _PREFIX = 3
+# a word and the white space before it: side by side they are the text up to the end of a word
+_WITH_BLANKS = r"[\x20\x09-\x0D]*" + WORD
 
 
 def size_of(text: Column) -> Column:
@@ -86,7 +88,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
 def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
     """The mixed rows themselves, with the columns of ``docs``: every row as often as the mix takes it whole, and once
-    more with its first words only where a source's fraction ends inside it (words joined by blanks)."""
+    more only up to the end of its last word taken where a source's fraction ends inside it. That part is the text as it
+    stands, line breaks and blanks included; the words after it are beyond the target and stay out."""
     taken = mix(docs, weights, max_epochs, seed).groupBy("doc_id", "source", "text_hash").agg(
         F.first("size").alias("__size"), F.sum("taken").alias("__taken"), F.count(F.lit(1)).alias("__rows")
     )
@@ -101,7 +104,7 @@ def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     times = F.when(part > 0, F.concat(times, F.array(F.lit(0).cast("long")))).otherwise(times)
     out = rows.withColumn("__part", part).withColumn("__time", F.explode(times))
     cut = (F.col("__time") == 0) & (F.col("__part") < F.col("__size"))
-    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.greatest(F.lit(1), F.col("__part"))), " ")
+    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(_WITH_BLANKS), 0), F.lit(1), F.greatest(F.lit(1), F.col("__part"))), "")
     text = F.when(cut, start).otherwise(F.col("text"))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -202,6 +202,15 @@ def test_mixing_equals_brute_force_and_sql(spark):
     assert {r.target for r in mixing.mix(table(spark, [row(1, None), row(2, "")])).collect()} == {0.0}
 
 
+def test_the_part_of_a_mixed_text_is_verbatim(spark):
+    rng = random.Random(4)
+    text = lambda n: "\n".join(prose(rng, 7).replace(" ", "\t  ", 1) for _ in range(n))
+    docs = [row(i, " \n" + text(9), source=s) for i, s in enumerate("aabbcc")]
+    whole = {r[1] for r in docs}
+    parts = [r.text for r in mixing.repeat(table(spark, docs), (2, 3, 4)).collect() if r.text not in whole]
+    assert parts and all(any(w.startswith(p) for w in whole) for p in parts)
+
+
 def near_copies(rng, n):
     base = [prose(rng, k) for k in (4, 6, 7, 8, 9, 12, 15, 40, 90, 200)]
     return [edited(rng, t, rng.randrange(3)) if rng.random() < 0.7 else t.title() for t in (rng.choice(base) for _ in range(n))]
