@@ -97,7 +97,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5
 def predict(model: LanguageModel | None, text: str | None) -> tuple[str, float, bool]:
     """(language, calibrated probability, rejected) of a whole text."""
     if model is None or not has_letter(text):
-        return UNKNOWN, 0.0, True
+        return UNKNOWN, 0.0, not has_letter(text)
     ids = subwords(text)
     # a text whose only letters lie outside words of n-gram length still gets the prior of the bias
     z = (model.logits[ids].mean(axis=0, dtype=np.float64) if len(ids) else 0.0) + model.bias
@@ -116,9 +116,11 @@ def fit(docs: DataFrame, max_rows: int = 4000, seed: int = 1) -> LanguageModel |
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """``docs`` plus lang_pred, lang_score and lang_rejected, replacing columns of those names.
 
-    Null texts and texts without a letter are ``und``, score 0, rejected. Every other text gets a learned language; it
-    is rejected when its calibrated probability lies under the model's threshold. Each row stands alone, so repeated
-    rows, long texts (read whole) and ties (the label that sorts first) need nothing more; an empty table gives none.
+    Null texts and texts without a letter are ``und``, score 0, rejected. Without a model, as ``fit`` gives none where
+    no row has both a language and a letter, all other texts are ``und``, score 0, not rejected. With one, each gets a
+    learned language; it is rejected when its calibrated probability lies under the model's threshold. Each row stands
+    alone, so repeated rows, long texts (read whole) and ties (the label that sorts first) need nothing more; an empty
+    table gives none.
     """
 
     @F.pandas_udf("lang_pred string, lang_score double, lang_rejected boolean")

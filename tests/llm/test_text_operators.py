@@ -21,6 +21,12 @@ def bilingual(n, seed=0):
     return [(" ".join(rng.choice(w) for _ in range(rng.randrange(5, 40))), lang) for _ in range(n) for w, lang in ((ENGLISH, "en"), (GERMAN, "de"))]
 
 
+def test_unlabelled_texts_are_not_rejected(spark):
+    docs = table(spark, [row(1, "plain text", lang=None), row(2, "123 !", lang=None), row(3, None, lang=None)])
+    got = {r.doc_id: (r.lang_pred, r.lang_score, r.lang_rejected) for r in language_id.identify(docs, language_id.fit(docs)).collect()}
+    assert got == {1: ("und", 0.0, False), 2: ("und", 0.0, True), 3: ("und", 0.0, True)}
+
+
 def test_language_is_learned_and_edges_are_defined(spark):
     rows = bilingual(120)
     model = language_id.train([t for t, _ in rows], [g for _, g in rows])
