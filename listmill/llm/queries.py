@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import bpe, exact_dedup, language_id, line_dedup, mixing, ngram_jaccard, pii, quality_classifier, quality_rules, toxicity
+from . import bpe, decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_jaccard, periodic_runs, pii, quality_classifier, quality_rules, token_alignment, toxicity
 from .common import read, remainder
 
 QUERIES = {}
@@ -125,3 +127,62 @@ def op7(spark, sf_dir: str) -> DataFrame:
 @query("op9_ngram_jaccard")
 def op9(spark, sf_dir: str) -> DataFrame:
     return ngram_jaccard.component_ids(read(prepare(spark), sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def tiled_words(doc_id: int | None, text: str | None) -> list[str]:
+    """The words of a text; of one document in ten, picked by id, those from some word on repeat with a period."""
+    words = periodic_runs.split_words(doc_id, text)
+    h, n = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [*words[:a], *(words[a + (i - a) % p] for i in range(a, n))]
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(read(prepare(spark), sf_dir, "documents"), tiled_words)
+    # exact comparison of length / period; runs come by start and period, so the first of equals stays
+    beats = lambda r, best: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    none = F.lit(None).cast(periodic_runs.RUN)
+    top = found.withColumn("top", F.aggregate("runs", none, lambda best, r: F.when(beats(r, best), r).otherwise(best)))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return top.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"), digest(F.array_join(lines, "")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+_OP12_SQL = r"""
+WITH w AS (SELECT 'd' AS kind, row_number() OVER () AS r, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+           UNION ALL
+           SELECT 'b', row_number() OVER (), item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+items AS (SELECT id, ws, least(10, len(ws)) AS m FROM w WHERE kind = 'b' AND len(ws) > 0),
+phrases AS (SELECT DISTINCT id, m, array_to_string(ws[i : i + m - 1], ' ') AS phrase FROM (SELECT id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM items)),
+docs AS (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE kind = 'd'),
+hits AS (SELECT r, i, p.m, p.id FROM (SELECT r, i, m, array_to_string(ws[i : i + m - 1], ' ') AS phrase FROM docs, (SELECT DISTINCT m FROM items) WHERE i + m - 1 <= len(ws)) d JOIN phrases p USING (m, phrase)),
+places AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT r, i, m, unnest(range(0, m)) AS k FROM hits) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, id FROM hits WHERE id IS NOT NULL) GROUP BY r)
+SELECT w.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN places USING (r) LEFT JOIN found USING (r) WHERE kind = 'd'
+"""
+
+
+@query("op12_decontamination", _OP12_SQL)
+def op12(spark, sf_dir: str) -> DataFrame:
+    found = decontamination.search(read(prepare(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    listed = F.array_join(F.sort_array(F.col("items").cast("array<string>")), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+@query("op13_token_alignment")
+def op13(spark, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.alignments(read(prepare(spark), sf_dir, "documents"), *paths)[0]
