@@ -568,8 +568,44 @@ def _date_of(day: Column, month: Column, year: Column) -> Column:
     return F.when(F.length(day) > 0, F.try_to_date(text, "d MMM yyyy"))
 
 
-def parse_date(c: Column) -> Column:
-    """ISO date of a date-like text; rolling or unreadable deadlines give null."""
+def _partial_date(t: Column, as_of: Column) -> Column:
+    """Date of a text that names parts of one: month words, day numbers, a year, or a weekday alone.
+
+    Parts not named come from ``as_of``, the day cut to the month's length; a weekday alone is the next one from there on.
+    """
+    text = F.regexp_replace(t, r"(?i)\b\d{1,2}:\d{2}(?::\d{2})?\s*(?:[ap]m\b)?|\b\d{1,2}\s*[ap]m\b", " ")
+    part = lambda pattern, n=1: null_if_empty(F.regexp_extract(text, pattern, n))
+    nth = "(?:st|nd|rd|th)?"
+    month_word = part(rf"(?i)\b({MONTH})\b")
+    number = lambda x: x.cast("int")
+    slash = r"(?<!\d)(\d{1,2})/(\d{1,2})(?![\d/])"
+    month = F.coalesce(
+        F.month(F.try_to_date(F.concat(F.lit("1 "), F.initcap(F.substring(month_word, 1, 3)), F.lit(" 2000")), "d MMM yyyy")),
+        number(part(slash)),
+    )
+    day = F.coalesce(
+        part(rf"(?i)(?<!\d)(\d{{1,2}}){nth}[ \-]+(?:of +)?{MONTH}\b"), part(rf"(?i)\b{MONTH}\.?[ \-]+(\d{{1,2}}){nth}(?!\d)"), part(slash, 2),
+        F.when(month_word.isNull(), part(rf"(?i)(?<![\d/.\-])(\d{{1,2}}){nth}(?![\d/.\-])")),
+    )
+    # two digits after day and month mean the year nearest to as_of's century
+    short = number(part(rf"(?i)\d{{1,2}}{nth}[ \-]+(?:of +)?{MONTH}\.?,?[ \-]+'?(\d{{2}})(?!\d)"))
+    near = short + F.year(as_of) - F.year(as_of) % 100
+    near = F.when(near >= F.year(as_of) + 50, near - 100).when(near < F.year(as_of) - 50, near + 100).otherwise(near)
+    year = F.coalesce(number(part(r"(?<!\d)(\d{4})(?!\d)")), near)
+    y, m = F.coalesce(year, F.year(as_of)), F.coalesce(month, F.month(as_of))
+    joined = lambda d: F.concat_ws("-", y.cast("string"), m.cast("string"), d)
+    last = F.day(F.last_day(F.try_to_date(joined(F.lit("1")), "y-M-d")))
+    d = F.coalesce(day, F.least(F.day(as_of), last).cast("string"))
+    weekday = part(r"(?i)\b(mon|tue|wed|thu|fri|sat|sun)(?:day|s|sday|nesday|rs|rsday|urday)?\b")
+    named = F.coalesce(year, month).isNotNull() | day.isNotNull()
+    return F.when(named, F.try_to_date(joined(d), "y-M-d")).otherwise(F.call_function("next_day", F.date_sub(as_of, 1), weekday))
+
+
+def parse_date(c: Column, as_of: Column | None = None) -> Column:
+    """ISO date of a date-like text; rolling or unreadable deadlines give null.
+
+    With ``as_of`` a text that names only parts of a date is read too (``_partial_date``).
+    """
     t = F.regexp_replace(
         one_line(c),
         r"(?i)^(last updated|posted|date|closing date|deadline|apply by|applications? close)\s*:?\s*",
@@ -577,9 +613,8 @@ def parse_date(c: Column) -> Column:
     )
     t = F.replace(t, F.lit("at "), F.lit(""))
     open_ended = "(?i)rolling|ongoing|asap|until filled"
-    return bind(
-        t, lambda x: F.when((x != "") & ~x.rlike(open_ended), F.date_format(_read_date(x), "yyyy-MM-dd"))
-    )
+    read = _read_date if as_of is None else lambda x: F.coalesce(_read_date(x), _partial_date(x, as_of))
+    return bind(t, lambda x: F.when((x != "") & ~x.rlike(open_ended), F.date_format(read(x), "yyyy-MM-dd")))
 
 
 def _read_date(t: Column) -> Column:
@@ -607,9 +642,9 @@ DEADLINE_PATTERNS = [
 ]
 
 
-def deadline(c: Column) -> Column:
+def deadline(c: Column, as_of: Column | None = None) -> Column:
     return bind(
-        c, lambda t: F.coalesce(*[parse_date(F.regexp_extract(t, p, 1)) for p in DEADLINE_PATTERNS])
+        c, lambda t: F.coalesce(*[parse_date(F.regexp_extract(t, p, 1), as_of) for p in DEADLINE_PATTERNS])
     )
 
 

@@ -308,6 +308,7 @@ MERGE_COLUMNS = [
     "source_url", "posted_at", "expires_at", "department", "employment_type", "salary_range",
     "remote_status", "job_description", "requirements", "external_job_id", "content_hash",
 ]
+REQUIRED_COLUMNS = ["title", "company", "location", "category", "summary", "apply_url"]
 PUBLISH_COLUMNS = [
     "title", "company", "location", "category", "summary", "apply_url", "employment_type",
     "salary_range", "remote_status", "experience_level", "expires_at", "posted_at", "department",
@@ -356,6 +357,10 @@ DETAIL_CLASSES = [
 # ---- fixed values: search, ranking, limits -------------------------------------
 PAGE_SIZE = 20
 SIMILAR_LIMIT = 4
+SIMILAR_WEIGHTS = {          # points of similar listings; *_max bounds how many words count
+    "category": 24, "remote_cat": 8, "employment_type": 8, "remote_status": 8, "experience_level": 6,
+    "title": 8, "tag": 10, "text": 2, "text_max": 10, "place": 3, "place_max": 2,
+}
 FEED_SIZE = 30
 ALERT_FREQUENCIES = ["instant", "daily", "weekly"]
 REQUEST_LIMITS = {           # scope: (admitted requests, window seconds)

@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 from .common import stored
 
 # bytes of the texts that are aligned in one go, and whose distinct pairs are looked up together
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+# bytes of the texts that are handed to the tokenizers in one call
+PART_BYTES = 1 << 18
 # texts that make up more than one row in HOT_SHARE are looked up through a broadcast; there are fewer than HOT_SHARE
 HOT_SHARE = 2_000
 
@@ -57,23 +59,43 @@ class Tokenizers:
             self.bytes_a[i] = bytes(back[c] for c in piece) if all(c in back for c in piece) else piece.encode()
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(p) for p in of], np.int64) for of in (self.bytes_a, self.bytes_b))
-        names = lambda n, mark: np.array([f"{i}{mark}" for i in range(n)], dtype=object)
-        self.named = {mark: names(max(len(self.bytes_a), len(self.bytes_b)), mark) for mark in ",|;"}
+        # decimal ids as rows of digits, with room for the mark that follows
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        self.n_digits = np.array([len(str(i)) for i in range(most)], np.int64)
+        self.digits = np.zeros((most, int(self.n_digits.max()) + 1), np.uint8)
+        for i in range(most):
+            self.digits[i, : self.n_digits[i]] = list(str(i).encode())
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of every text by A (of a blank and the text) and by B; none where joined bytes differ from blank and text."""
         fast = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-        a = [e.ids for e in fast([" " + (t or "") for t in texts], add_special_tokens=False)]
-        b = self.b.encode([t or "" for t in texts], num_threads=1)
-        for k, t in enumerate(texts):
-            whole = (" " + t).encode("utf-8", "replace") if t else None
-            if whole is None or b"".join([self.bytes_a[i] for i in a[k]]) != whole or b"".join([self.bytes_b[i] for i in b[k]]) != whole:
-                a[k] = b[k] = []
-        return a, b
+        out_a, out_b, none = [], [], np.zeros(0, np.int32)
+        piece_a, piece_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        for part in _parts(texts, PART_BYTES):
+            a = [e.ids for e in fast([" " + (t or "") for t in part], add_special_tokens=False)]
+            b = self.b.encode([t or "" for t in part], num_threads=1)
+            for t, x, y in zip(part, a, b):
+                whole = (" " + t).encode("utf-8", "replace") if t else None
+                same = whole is not None and b"".join(map(piece_a, x)) == whole and b"".join(map(piece_b, y)) == whole
+                out_a.append(np.array(x, np.int32) if same else none)
+                out_b.append(np.array(y, np.int32) if same else none)
+        return out_a, out_b
+
+
+def _parts(texts: list[str | None], limit: int) -> Iterator[list[str | None]]:
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t or "") > limit:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t or "")
+    if part:
+        yield part
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
@@ -90,32 +112,44 @@ def align(texts: list[str | None], tok: Tokenizers) -> tuple[list[tuple], np.nda
     """Per text (n_a, n_b, n_groups, n_links, groups_sha256), and per link the text's number, the A id and the B id.
 
     The texts are laid end to end. Both tokenizers cover each text exactly, so all text ends are common ends, and one
-    pass of array operations serves the whole chunk. Two tokens overlap in exactly one piece between neighbouring ends.
+    pass of array operations serves the whole chunk: every byte is marked where an A token, a B token or both end. Two
+    tokens overlap in exactly one piece between neighbouring marks.
     """
     a, b = tok.encode(texts)
     count_a, count_b = (np.array([len(x) for x in of], np.int64) for of in (a, b))
-    ids_a, ids_b = (np.array([i for x in of for i in x], np.int64) for of in (a, b))
+    ids_a, ids_b = np.concatenate(a), np.concatenate(b)
     ends_a, ends_b = np.cumsum(tok.size_a[ids_a]), np.cumsum(tok.size_b[ids_b])
-    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    cuts = np.union1d(ends_a, ends_b)
-    link_a, link_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
-    first_a, first_b = np.append(0, np.cumsum(count_a)), np.append(0, np.cumsum(count_b))
-    text_of = np.repeat(np.arange(len(texts)), count_a)[link_a] if len(cuts) else np.zeros(0, np.int64)
-    group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
-    # group by group, A ids then B ids
-    listed = np.empty(len(ids_a) + len(ids_b), dtype=object)
-    closes_a, closes_b = np.append(np.diff(group_a) > 0, True), np.append(np.diff(group_b) > 0, True)
-    listed[np.arange(len(ids_a)) + np.searchsorted(group_b, group_a, "left")] = np.where(closes_a, tok.named["|"][ids_a], tok.named[","][ids_a]) if len(ids_a) else []
-    listed[np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")] = np.where(closes_b, tok.named[";"][ids_b], tok.named[","][ids_b]) if len(ids_b) else []
+    marks = np.zeros((int(ends_a[-1]) if len(ends_a) else 0) + 1, np.uint8)
+    marks[ends_a] = 1
+    marks[ends_b] |= 2
+    cuts = np.flatnonzero(marks)
+    kind = marks[cuts]
+    is_a, is_b, both = (kind & 1).astype(bool), (kind & 2).astype(bool), kind == 3
+    # the token that a piece lies in is the one after those that ended before
+    link_a, link_b, group = (np.cumsum(m) - m for m in (is_a, is_b, both))
+    text_of = np.repeat(np.arange(len(texts)), count_a)[link_a]
     n_links = np.bincount(text_of, minlength=len(texts))
-    starts = first_a + first_b
-    rows = []
+    # group by group, A ids then B ids, each followed by its mark
+    group_a, group_b = group[is_a], group[is_b]
+    in_a, in_b = (np.bincount(g, minlength=int(both.sum())) for g in (group_a, group_b))
+    place_a = np.arange(len(ids_a)) + (np.cumsum(in_b) - in_b)[group_a]
+    place_b = np.arange(len(ids_b)) + np.cumsum(in_a)[group_b]
+    ids = np.empty(len(ids_a) + len(ids_b), np.int32)
+    follow = np.full(len(ids), ord(","), np.uint8)
+    ids[place_a], ids[place_b] = ids_a, ids_b
+    follow[place_a[both[is_a]]], follow[place_b[both[is_b]]] = ord("|"), ord(";")
+    sizes = tok.n_digits[ids]
+    rows = tok.digits[ids]
+    rows[np.arange(len(ids)), sizes] = follow
+    listed = rows[np.arange(rows.shape[1]) <= sizes[:, None]].tobytes()
+    at = np.append(0, np.cumsum(sizes + 1))[np.append(0, np.cumsum(count_a + count_b))]
+    out = []
     for k in range(len(texts)):
         n_a, n_b, links = int(count_a[k]), int(count_b[k]), int(n_links[k])
-        digest = hashlib.sha256("".join(listed[starts[k] : starts[k + 1]].tolist())[:-1].encode()).hexdigest() if n_a else ""
+        digest = hashlib.sha256(listed[at[k] : at[k + 1] - 1]).hexdigest() if n_a else ""
         # every common end saves one cut
-        rows.append((n_a, n_b, n_a + n_b - links, links, digest))
-    return rows, text_of, ids_a[link_a] if len(cuts) else text_of, ids_b[link_b] if len(cuts) else text_of
+        out.append((n_a, n_b, n_a + n_b - links, links, digest))
+    return out, text_of, ids_a[link_a].astype(np.int64), ids_b[link_b].astype(np.int64)
 
 
 def _chunk(rows: list[tuple], tok: Tokenizers) -> tuple:

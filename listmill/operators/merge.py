@@ -1,7 +1,5 @@
 """Snapshot merges: upsert, overlay, delete, cascade. Each reads a snapshot and gives the next."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,20 +8,8 @@ from ..functions.quality import closed, expired, stored_bad_content
 from ..functions.text import slug
 from ..functions.urls import public_url
 from ..session import cut_lineage
-from .identity import match_existing
-from .scan import number_rows, prior_values
-
-
-def trimmed(c: Column) -> Column:
-    return F.trim(F.coalesce(c.cast("string"), F.lit("")))
-
-
-def material_change(columns, before, after) -> Column:
-    """Some incoming non-null value differs from the present one, compared as trimmed text."""
-    return reduce(
-        lambda a, b: a | b,
-        [after(c).isNotNull() & (trimmed(before(c)) != trimmed(after(c))) for c in columns],
-    )
+from .resolve import material_change, resolve, trimmed
+from .scan import number_rows
 
 
 def changed_columns(columns, before, after) -> Column:
@@ -37,28 +23,13 @@ def changed_columns(columns, before, after) -> Column:
     )
 
 
-def merge_actions(stored: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
-    """One row per incoming record: order, stored_id, action, and the record's columns.
+def merge_actions(stored: DataFrame, incoming: DataFrame, order: str, dry_run: bool = False) -> DataFrame:
+    """One row per incoming record: order, stored_id, batch_ord, action, and the record's columns.
 
-    Several records may hit one stored row; each is compared with the state its
-    predecessors left, as a row-by-row upsert would.
+    Each record is compared with the state its predecessors left, stored or inserted, as a row-by-row upsert would. A
+    dry run writes nothing in between, so its records are compared with the stored rows alone.
     """
-    columns = [c for c in V.MERGE_COLUMNS if c in stored.columns and c in incoming.columns]
-    found = match_existing(incoming, stored, order)
-    rows = incoming.join(found, order)
-    hits = prior_values(
-        rows.filter("stored_id is not null").withColumn(order, F.col(order).cast("bigint")),
-        ["stored_id"], order, columns,
-    )
-    old = stored.select(F.col("id").alias("stored_id"), *[F.col(c).alias(f"old_{c}") for c in columns])
-    hits = hits.join(old, "stored_id")
-    differs = material_change(
-        columns, lambda c: F.coalesce(F.col(f"prev_{c}"), F.col(f"old_{c}")), lambda c: F.col(c)
-    )
-    hits = hits.withColumn("action", F.when(differs, F.lit("updated")).otherwise(F.lit("skipped")))
-    new = rows.filter("stored_id is null").withColumn("action", F.lit("inserted"))
-    names = [order, "stored_id", "action", *[c for c in incoming.columns if c != order]]
-    return hits.select(*names).unionByName(new.select(*names))
+    return resolve(incoming, stored, order, within_batch=not dry_run)
 
 
 def overlay(stored: DataFrame, updates: DataFrame, order: str, columns) -> DataFrame:
@@ -88,8 +59,7 @@ def merge_jobs(stored: DataFrame, incoming: DataFrame, order: str, actions: Data
     """(next snapshot, actions with the id each record ended up with)."""
     acts = cut_lineage(merge_actions(stored, incoming, order) if actions is None else actions)
     columns = [c for c in [*V.MERGE_COLUMNS, "scraped_at"] if c in stored.columns and c in incoming.columns]
-    kept = overlay(stored, acts.filter("action = 'updated'"), order, columns)
-    fresh = assign_ids(stored, acts.filter("action = 'inserted'"), order)
+    fresh = cut_lineage(assign_ids(stored, acts.filter("action = 'inserted'"), order))
     inserted = fresh.select(
         *[
             F.col(c).cast(stored.schema[c].dataType) if c in fresh.columns
@@ -97,14 +67,20 @@ def merge_jobs(stored: DataFrame, incoming: DataFrame, order: str, actions: Data
             for c in stored.columns
         ]
     )
-    done = acts.join(fresh.select(order, F.col("id").alias("_new_id")), order, "left").withColumn(
-        "id", F.coalesce("stored_id", "_new_id")
-    ).drop("_new_id")
-    return kept.unionByName(inserted), done
+    # a record may belong to a listing that this batch inserted
+    given = fresh.select(F.col(order).alias("_by"), F.col("id").alias("_new_id"))
+    by = F.coalesce(F.col("batch_ord"), F.when(F.col("action") == "inserted", F.col(order).cast("bigint")))
+    done = cut_lineage(
+        acts.withColumn("_by", by).join(given.withColumn("_by", F.col("_by").cast("bigint")), "_by", "left")
+        .withColumn("id", F.coalesce("stored_id", "_new_id")).drop("_by", "_new_id")
+    )
+    updates = done.filter("action = 'updated'").drop("stored_id").withColumnRenamed("id", "stored_id")
+    return overlay(stored.unionByName(inserted), updates, order, columns), done
 
 
 def action_counts(actions: DataFrame) -> DataFrame:
-    return actions.groupBy("action").agg(F.count("*").alias("n"))
+    """One row: how many records were inserted, updated, skipped, and failed."""
+    return actions.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("inserted", "updated", "skipped", "failed")])
 
 
 def split_by(df: DataFrame, condition: Column):

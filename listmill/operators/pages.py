@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import classify as C
@@ -14,6 +15,13 @@ from ..functions.text import (
 from ..session import cut_lineage
 from . import html_pass
 
+SETTINGS_BROADCAST = 10_000     # rules of so many sources at most travel to every task; more are joined by shuffle
+
+
+def few_rows(rules: DataFrame) -> bool:
+    return rules.limit(SETTINGS_BROADCAST + 1).count() <= SETTINGS_BROADCAST
+
+
 SILENT_BLOCK = r"(?is)<(script|style|noscript|svg|form|iframe)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<![^>]*>"
 HIDDEN_BLOCK = (
     r"(?is)<(\w+)\b[^>]*(?:\shidden(?=[\s>=/])|\saria-hidden=[\"']?true|"
@@ -112,11 +120,23 @@ def json_ld(pages: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ links
-def anchors(pages: DataFrame) -> DataFrame:
-    """One row per anchor with an address: position, raw and absolute address, text, attributes."""
-    tag = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
+_ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
+
+
+def _href(attrs: Column) -> Column:
+    found = unescape(F.regexp_extract(attrs, r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 1))
+    return F.coalesce(null_if_empty(found), F.regexp_extract(attrs, r"(?is)\bhref\s*=\s*'([^']*)'", 1))
+
+
+def _anchor_text(inner: Column) -> Column:
+    return clean_text(F.regexp_replace(inner, r"<[^>]+>", " "))
+
+
+def anchors(pages: DataFrame, *keep: str) -> DataFrame:
+    """One row per anchor with an address: position, raw and absolute address, text, attributes; ``keep`` columns stay."""
+    tag = _ANCHOR
     rows = pages.select(
-        "page_id", F.col("url").alias("page_url"),
+        "page_id", *keep, F.col("url").alias("page_url"),
         F.posexplode(
             F.arrays_zip(
                 F.regexp_extract_all("html", F.lit(tag), F.lit(1)).alias("attrs"),
@@ -125,17 +145,22 @@ def anchors(pages: DataFrame) -> DataFrame:
         ).alias("pos", "a"),
     )
     attrs = F.col("a.attrs")
-    href = unescape(F.regexp_extract(attrs, r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 1))
-    href = F.coalesce(
-        null_if_empty(href), F.regexp_extract(attrs, r"(?is)\bhref\s*=\s*'([^']*)'", 1)
-    )
+    href = _href(attrs)
     return rows.select(
-        "page_id", "page_url", "pos", attrs.alias("attrs"), href.alias("href"),
-        U.normalize_url(href, F.col("page_url")).alias("url"),
-        clean_text(F.regexp_replace(F.col("a.inner"), r"<[^>]+>", " ")).alias("text"),
+        "page_id", *keep, "page_url", "pos", attrs.alias("attrs"), href.alias("href"),
+        U.normalize_url(href, F.col("page_url")).alias("url"), _anchor_text(F.col("a.inner")).alias("text"),
     ).filter("url <> ''")
 
 
+def page_anchors(html: Column, url: Column) -> Column:
+    """The same within the page's row: struct(url, text) of every anchor with an address, in order."""
+    zipped = F.arrays_zip(
+        F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(1)).alias("attrs"), F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(2)).alias("inner")
+    )
+    listed = F.transform(zipped, lambda a: F.struct(U.normalize_url(_href(a["attrs"]), url).alias("url"), _anchor_text(a["inner"]).alias("text")))
+    return F.filter(listed, lambda a: a["url"] != "")
+
+
 def _excluded(url: Column) -> Column:
     return url.rlike("(?i)" + "|".join(V.LINK_EXCLUDES))
 
@@ -162,9 +187,9 @@ def detail_links(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     ``rules`` (few rows, one per source; the pages then carry ``source_name``) may add
     include/exclude patterns, allow other hosts, or replace the tests by a host and path rule.
     """
-    links = anchors(pages)
+    links = anchors(pages, *(["source_name"] if rules is not None else []))
     if rules is not None:
-        links = links.join(pages.select("page_id", "source_name"), "page_id").join(rules, "source_name", "left")
+        links = links.join(F.broadcast(rules) if few_rows(rules) else rules, "source_name", "left")
     else:
         links = links.withColumns(
             {n: F.lit(None).cast("string") for n in ("include_pattern", "exclude_pattern", "only_pattern")}
@@ -189,17 +214,8 @@ def detail_links(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
 def pagination_links(pages: DataFrame) -> DataFrame:
     """Links to further listing pages: rel/class/label hints, "next" texts, numbers in a pager."""
-    links = anchors(pages).join(
-        pages.select(
-            "page_id",
-            F.regexp_extract_all(
-                "html",
-                F.lit(r"(?is)<(?:nav|div|ul|ol|section)\b[^>]*(?:pagination|pager|page-numbers)[^>]*>(.*?)</(?:nav|div|ul|ol|section)>"),
-                F.lit(1),
-            ).alias("pagers"),
-        ),
-        "page_id",
-    )
+    pager = r"(?is)<(?:nav|div|ul|ol|section)\b[^>]*(?:pagination|pager|page-numbers)[^>]*>(.*?)</(?:nav|div|ul|ol|section)>"
+    links = anchors(pages.withColumn("pagers", F.regexp_extract_all("html", F.lit(pager), F.lit(1))), "pagers")
     attrs, text = F.col("attrs"), F.col("text")
     hinted = attrs.rlike(
         r"(?i)\brel\s*=\s*[\"']?[^\"']*\bnext\b|\bclass\s*=\s*[\"'][^\"']*(?:\bnext\b|nextpostslink|page-numbers)|"
@@ -225,21 +241,33 @@ def apply_links(pages: DataFrame) -> DataFrame:
     )
 
 
+def apply_address(links: Column, url: Column, foreign: bool = True) -> Column:
+    """``apply_links`` within the page's row, over ``page_anchors``."""
+    says = F.filter(links, lambda a: a["text"].rlike("(?i)" + V.APPLY_ANCHOR) & ~_excluded(a["url"]))
+    social = "|".join(h.replace(".", r"\.") for h in V.SOCIAL_HOSTS)
+    away = F.filter(links, lambda a: (U.host(a["url"]) != U.host(url)) & ~a["url"].rlike(social))
+    tries = [says, away] if foreign else [says]
+    return F.coalesce(*[F.get(t, F.lit(0))["url"] for t in tries], url)
+
+
 def page_facts(pages: DataFrame, cards: DataFrame | None = None) -> DataFrame:
-    """What the page class depends on: h1, title, number of role-like links and cards, phrases."""
-    links = anchors(pages).groupBy("page_id").agg(F.count_if(C.is_role(F.col("text"))).alias("role_links"))
-    rows = pages.select(
-        "page_id", "url",
-        tag_text(F.col("html"), "h1").alias("h1"),
-        tag_text(F.col("html"), "title").alias("head_title"),
-        clean_text(html_lines(F.col("html"))).rlike("(?i)" + V.LISTING_PHRASES).alias("has_phrase"),
-    ).join(links, "page_id", "left").withColumn("role_links", F.coalesce("role_links", F.lit(0)))
+    """What the page class depends on: h1, title, number of role-like links and cards, phrases; no join unless cards are given."""
+    html = F.col("html")
+    rows = pages.select("page_id", "url", *[v.alias(n) for n, v in _facts(html, page_anchors(html, F.col("url"))).items()])
     if cards is None:
         return rows.withColumn("n_cards", F.lit(0).cast("bigint"))
     n = cards.groupBy("page_id").agg(F.count("*").alias("n_cards"))
     return rows.join(n, "page_id", "left").withColumn("n_cards", F.coalesce("n_cards", F.lit(0)))
 
 
+def _facts(html: Column, links: Column) -> dict[str, Column]:
+    return {
+        "h1": tag_text(html, "h1"), "head_title": tag_text(html, "title"),
+        "has_phrase": clean_text(html_lines(html)).rlike("(?i)" + V.LISTING_PHRASES),
+        "role_links": F.size(F.filter(links, lambda a: C.is_role(a["text"]))).cast("bigint"),
+    }
+
+
 def page_kind(facts: DataFrame) -> DataFrame:
     """listing, detail or other."""
     h1 = F.col("h1")
@@ -257,8 +285,14 @@ def page_kind(facts: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ tree pass, cards, details
 def read_tree(pages: DataFrame) -> DataFrame:
-    """Main text and cards of each page, with an ``error`` column for pages that failed."""
-    return pages.select("page_id", "url", "html").mapInPandas(html_pass.read_pages, html_pass.SCHEMA)
+    """Main text and cards of each page, with an ``error`` column for pages that failed.
+
+    A column ``selectors`` (map; keys detail_container or description, job_cards, title, job_links) holds the page's source's
+    own selectors, which come before the general ones. Columns other than html and selectors stay.
+    """
+    kept = [f for f in pages.schema.fields if f.name not in ("html", "selectors")]
+    found = T.StructType.fromDDL(html_pass.FOUND)
+    return pages.mapInPandas(html_pass.read_pages, T.StructType([*kept, *found.fields]))
 
 
 def page_text(tree: DataFrame) -> DataFrame:
@@ -313,42 +347,50 @@ def cards(tree: DataFrame, source: DataFrame | None = None) -> DataFrame:
     ).drop("data_id")
 
 
-def detail_records(pages: DataFrame, tree: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+def _posted(html: Column) -> Column:
+    return null_if_empty(meta(html, ["article:published_time", "datePublished", "date"]))
+
+
+def _first_posting(pages: DataFrame) -> DataFrame:
+    """page_id and ``ld``: the first posting in each page's structured data."""
+    ld = json_ld(pages)
+    fields = [c for c in ld.columns if c not in ("page_id", "script", "pos")]
+    return ld.groupBy("page_id").agg(F.min(F.struct("script", "pos", *fields)).alias("ld"))
+
+
+def detail_records(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """One raw record per detail page: structured data first, else labelled fields of the main text.
 
-    ``rules`` (one row per source) may fix the company, take the role from the body, or
+    Everything that needs the markup is taken from it in the page's own row, before and in the tree pass; what goes
+    through a join is the records' fields. ``rules`` (one row per source) may fix the company, take the role from the body, or
     reject pages by a pattern; pages then carry ``source_name``.
     """
-    ld = json_ld(pages)
-    ld = ld.groupBy("page_id").agg(F.min(F.struct("script", "pos", *[c for c in ld.columns if c not in ("page_id", "script", "pos")])).alias("ld"))
-    card_rows = tree.select("page_id", F.explode("cards").alias("c"))
-    kind = page_kind(page_facts(pages, card_rows)).select("page_id", "kind")
-    rows = pages.join(page_text(tree).select("page_id", "text"), "page_id").join(kind, "page_id")
-    rows = rows.join(ld, "page_id", "left").join(apply_links(pages), "page_id")
+    html, url = F.col("html"), F.col("url")
+    ready = pages.withColumn("links", page_anchors(html, url))
+    ready = ready.withColumns(
+        _facts(html, F.col("links"))
+        | {"page_title": page_title(html), "posted": _posted(html), "author": null_if_empty(meta(html, ["article:author", "author"])),
+           "apply_url": apply_address(F.col("links"), url)}
+    ).drop("links")
+    tree = read_tree(ready).filter("error is null").withColumn("n_cards", F.size("cards")).drop("cards", "error")
+    rows = page_kind(tree.withColumn("text", normalize_block(F.col("main_text"))).drop("main_text"))
+    rows = rows.join(_first_posting(pages), "page_id", "left")
     if rules is not None:
-        rows = rows.join(rules, "source_name", "left")
+        rows = rows.join(F.broadcast(rules) if few_rows(rules) else rules, "source_name", "left")
     else:
         rows = rows.withColumns({n: F.lit(None).cast("string") for n in ("fixed_company", "reject_pattern")})
         rows = rows.withColumn("role_from_body", F.lit(False))
-    html, text = F.col("html"), F.col("text")
-    title = page_title(html)
+    text, title = F.col("text"), F.col("page_title")
     title = F.when(
         F.coalesce("role_from_body", F.lit(False)) & ~C.is_role(title), F.coalesce(C.role_from_text(text), title)
     ).otherwise(title)
-    posted = F.coalesce(
-        null_if_empty(meta(html, ["article:published_time", "datePublished", "date"])),
-        C.labelled(text, V.POSTED_LABELS, 120, below=True),
-    )
     plain_fields = {
         "title": title,
-        "company": F.coalesce(
-            F.col("fixed_company"), C.labelled(text, V.COMPANY_LABELS),
-            null_if_empty(meta(html, ["article:author", "author"])), C.company_from_text(title, text),
-        ),
+        "company": F.coalesce(F.col("fixed_company"), C.labelled(text, V.COMPANY_LABELS), F.col("author"), C.company_from_text(title, text)),
         "location": C.labelled(text, V.LOCATION_LABELS, 120, below=True),
         "summary": text,
         "apply_url": F.col("apply_url"),
-        "posted_at": C.parse_date(posted),
+        "posted_at": C.parse_date(F.coalesce(F.col("posted"), C.labelled(text, V.POSTED_LABELS, 120, below=True))),
         "expires_at": C.deadline(text),
         "department": C.labelled(text, V.DEPARTMENT_LABELS, 120, below=True),
         "employment_type": C.labelled(text, V.EMPLOYMENT_LABELS, 120, below=True),
@@ -372,14 +414,45 @@ def detail_records(pages: DataFrame, tree: DataFrame, rules: DataFrame | None =
     )
 
 
+def page_records(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Raw records of pages of any kind: detail pages give one, listing pages without detail links their cards."""
+    links = detail_links(pages).select("page_id").distinct()
+    html = F.col("html")
+    facts = pages.join(links, "page_id", "left_anti").withColumns(_facts(html, page_anchors(html, F.col("url"))))
+    tree = page_kind(read_tree(facts).withColumn("n_cards", F.size("cards"))).filter("kind = 'listing'")
+    names = ["source_name"] if "source_name" in pages.columns else []
+    carded = cards(tree.select("page_id", "url", "error", "cards")).withColumn("pos", F.col("pos").cast("int"))
+    carded = carded.join(tree.select("page_id", *names), "page_id")
+    details = detail_records(pages, rules).withColumn("pos", F.lit(0))
+    return details.unionByName(carded.drop("listing_url"), allowMissingColumns=True)
+
+
 # ------------------------------------------------------------------ crawl frontier
-def frontier(starts: DataFrame, page_links: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
-    """Detail URLs a bounded crawl of the stored pages would take, per source.
+def listing_links(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pagination links, detail links, direct records) of stored pages, keyed by the page's address.
 
-    starts(source_name, url); page_links and links(page_url, url, pos) as found on stored
-    pages; sources(source_name, max_pages, max_detail). Listing pages are walked breadth
-    first up to ``max_pages``; detail URLs count once per source, in discovery order, up to
-    ``max_detail`` - both caps are settings of the source.
+    A page without detail links that isn't one posting itself gives its cards as records, and no links.
+    """
+    address = U.normalize_url(F.col("url"))
+    details = cut_lineage(detail_links(pages).select(U.normalize_url(F.col("page_url")).alias("page_url"), "page_id", "url", "pos"))
+    bare = pages.join(details.select("page_id").distinct(), "page_id", "left_anti")
+    html = F.col("html")
+    facts = bare.withColumns(_facts(html, page_anchors(html, F.col("url"))))
+    tree = page_kind(read_tree(facts).withColumn("n_cards", F.size("cards"))).filter("kind <> 'detail'")
+    direct = cards(tree.select("page_id", "url", "error", "cards")).groupBy(U.normalize_url(F.col("listing_url")).alias("page_url")).agg(F.count("*").alias("n"))
+    direct = cut_lineage(direct)
+    nav = pagination_links(pages).select(U.normalize_url(F.col("page_url")).alias("page_url"), "url", "pos")
+    return cut_lineage(nav.join(direct.select("page_url"), "page_url", "left_anti")), details.drop("page_id"), direct
+
+
+def frontier(starts: DataFrame, nav: DataFrame, details: DataFrame, direct: DataFrame, sources: DataFrame) -> DataFrame:
+    """What a bounded crawl of the stored pages takes per source: source_name, kind, url, rank, n_records.
+
+    starts(source_name, url, pos); nav and details(page_url, url, pos) and direct(page_url, n) as found on the pages;
+    sources(source_name, max_pages, max_detail). Listing pages are walked breadth first up to ``max_pages``; each step joins
+    the last level alone. Detail addresses count once per source in discovery order, direct records page by page; the walk
+    ends after the page that fills ``max_detail`` of either. kind ``detail`` has the addresses with their rank, kind
+    ``direct`` the pages, ranked by visit, with the number of records taken from them.
     """
     caps = sources.select("source_name", "max_pages", "max_detail")
     by_order = Window.partitionBy("source_name")
@@ -396,30 +469,41 @@ def frontier(starts: DataFrame, page_links: DataFrame, links: DataFrame, sources
         ranked = cut.withColumn("_n", F.row_number().over(by_order.orderBy(*order)))
         return ranked.filter(F.col("_n") <= F.col(cap)).drop("_part", cap)
 
-    level = starts.groupBy("source_name", "url").agg(F.min("pos").alias("pos"))
-    seen = capped(level, ["pos", "url"], "max_pages").select("source_name", "url", F.col("_n").cast("bigint").alias("n"))
-    seen = cut_lineage(seen.withColumn("depth", F.lit(0)))
-    depth = 0
+    first = starts.groupBy("source_name", "url").agg(F.min("pos").alias("pos"))
+    last = cut_lineage(capped(first, ["pos", "url"], "max_pages").select("source_name", "url", F.col("_n").cast("bigint").alias("n")))
+    seen = last
+    links = nav.select(F.col("page_url").alias("url"), F.col("url").alias("to"), "pos")
     while True:
-        depth += 1
-        step = seen.filter(F.col("depth") == depth - 1).join(
-            page_links.select(F.col("page_url").alias("url"), F.col("url").alias("to"), "pos"), "url"
-        )
-        new = step.groupBy("source_name", F.col("to").alias("url")).agg(F.min(F.struct("n", "pos")).alias("o"))
+        new = last.join(links, "url").groupBy("source_name", F.col("to").alias("url")).agg(F.min(F.struct("n", "pos")).alias("o"))
         new = new.join(seen.select("source_name", "url"), ["source_name", "url"], "left_anti")
         have = seen.groupBy("source_name").agg(F.count("*").alias("have"))
-        new = (
+        last = cut_lineage(
             capped(new, ["o.n", "o.pos", "url"], "max_pages")
             .join(have, "source_name").join(caps, "source_name")
             .filter(F.col("have") + F.col("_n") <= F.col("max_pages"))
-            .select("source_name", "url", (F.col("have") + F.col("_n")).alias("n"), F.lit(depth).alias("depth"))
+            .select("source_name", "url", (F.col("have") + F.col("_n")).alias("n"))
         )
-        grown = cut_lineage(seen.unionByName(new))
-        if grown.filter(F.col("depth") == depth).limit(1).count() == 0:
+        if last.isEmpty():
             break
-        seen = grown
-    found = seen.select("source_name", "n", F.col("url").alias("page_url")).join(links.select("page_url", "url", "pos"), "page_url")
-    first = found.groupBy("source_name", "url").agg(F.min(F.struct("n", "pos")).alias("o"))
-    return capped(first, ["o.n", "o.pos", "url"], "max_detail").select(
-        "source_name", "url", F.col("_n").cast("bigint").alias("rank")
+        seen = cut_lineage(seen.unionByName(last))
+
+    walked = seen.select("source_name", "n", F.col("url").alias("page_url"))
+    found = walked.join(details, "page_url").groupBy("source_name", "url").agg(F.min(F.struct("n", "pos")).alias("o"))
+    taken = walked.join(direct.withColumnRenamed("n", "records"), "page_url")
+    # what each page adds, and the first page that fills a cap; a source has at most max_pages of them
+    adds = found.groupBy("source_name", F.col("o.n").alias("n")).agg(F.count("*").alias("d"), F.lit(0).cast("bigint").alias("r")).unionByName(
+        taken.select("source_name", "n", F.lit(0).cast("bigint").alias("d"), F.col("records").alias("r"))
+    )
+    upto = Window.partitionBy("source_name").orderBy("n")
+    sums = adds.withColumns({"ds": F.sum("d").over(upto), "rs": F.sum("r").over(upto)}).join(caps, "source_name")
+    full = (F.col("ds") >= F.col("max_detail")) | (F.col("rs") >= F.col("max_detail"))
+    end = sums.filter(full).groupBy("source_name").agg(F.min("n").alias("end"))
+    inside = lambda df, n: df.join(end, "source_name", "left").filter(F.col("end").isNull() | (n <= F.col("end"))).drop("end")
+    urls = capped(inside(found, F.col("o.n")), ["o.n", "o.pos", "url"], "max_detail").select(
+        "source_name", F.lit("detail").alias("kind"), "url", F.col("_n").cast("bigint").alias("rank"), F.lit(1).cast("bigint").alias("n_records")
+    )
+    cards_of = inside(sums, F.col("n")).filter("r > 0").join(walked, ["source_name", "n"]).select(
+        "source_name", F.lit("direct").alias("kind"), F.col("page_url").alias("url"), F.col("n").alias("rank"),
+        F.least("r", F.col("max_detail") - (F.col("rs") - F.col("r"))).cast("bigint").alias("n_records"),
     )
+    return urls.unionByName(cards_of)

@@ -1,4 +1,4 @@
-"""Similar listings and offer ranking."""
+"""Offer ranking."""
 
 from functools import reduce
 
@@ -7,90 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vocab as V
-from ..functions.quality import is_public
-from ..functions.text import delimited_set, empty_if_null, keywords, tag_keys
-from ..session import cut_lineage
-from .scan import number_rows
-
-BASES_PER_SCAN = 256     # viewed listings ranked in one scan; their word sets are broadcast
-
-
-def _features(df: DataFrame) -> DataFrame:
-    get = lambda n: F.col(n) if n in df.columns else F.lit("")
-    return df.select(
-        "id", "category", "featured", "created_at",
-        *[empty_if_null(get(n)).alias(n) for n in ("employment_type", "remote_status", "experience_level")],
-        F.array_contains(keywords(F.col("category")), "remote").alias("remote_cat"),
-        keywords(get("title")).alias("title_w"),
-        tag_keys(get("tags")).alias("tag_w"),
-        keywords(*[get(n) for n in ("summary", "job_description", "requirements", "department")]).alias("text_w"),
-        keywords(get("location")).alias("place_w"),
-    )
-
-
-def _score(a, b) -> Column:
-    both = lambda n: F.size(F.array_intersect(a[n], b[n]))
-    same = lambda n, w: F.when((a[n] != "") & (a[n] == b[n]), w).otherwise(0)
-    cat = (
-        F.when(a["category"] == b["category"], 24)
-        .when(a["remote_cat"] & b["remote_cat"], 8)
-        .otherwise(0)
-    )
-    return (
-        cat + same("employment_type", 8) + same("remote_status", 8) + same("experience_level", 6)
-        + both("title_w") * 8 + both("tag_w") * 10
-        + F.least(both("text_w"), F.lit(10)) * 2 + F.least(both("place_w"), F.lit(2)) * 3
-    )
-
-
-def similar(
-    jobs: DataFrame, bases: DataFrame, as_of_date: Column, k: int = V.SIMILAR_LIMIT,
-    public_only: bool = True,
-) -> DataFrame:
-    """The k most similar other listings of each base listing (``bases``: ids being viewed).
-
-    Every listing is scored against every base, as the ranking rule wants. The bases are a
-    stated query set of any size, taken in blocks: one scan a block, whose at most
-    ``BASES_PER_SCAN`` rows travel as one array. Ranking keeps k rows per base before the
-    shuffle. A base with fewer than k scored rows is filled by recency; rows without a score
-    rank last, which is that fill.
-    """
-    rows = jobs.filter(is_public(jobs, as_of_date)) if public_only else jobs
-    feats = _features(rows)
-    ids = bases.select("id").distinct()
-    total = ids.count()
-    if total <= BASES_PER_SCAN:
-        return _similar_block(jobs, feats, ids, k)
-    block = F.floor((F.col("n") - 1) / BASES_PER_SCAN)
-    numbered = cut_lineage(number_rows(ids, "id", "n").select("id", block.alias("block")))
-    blocks = [
-        _similar_block(jobs, feats, numbered.filter(F.col("block") == b).select("id"), k)
-        for b in range(-(-total // BASES_PER_SCAN))
-    ]
-    return reduce(DataFrame.unionByName, blocks)
-
-
-def _similar_block(jobs: DataFrame, feats: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    viewed = _features(jobs.join(F.broadcast(ids), "id", "left_semi"))
-    packed = viewed.agg(F.collect_list(F.struct(*viewed.columns)).alias("bases")).scalar()
-    scored = feats.withColumn("bases", packed).select(
-        F.col("id").alias("candidate_id"), "featured", "created_at",
-        F.explode(
-            F.transform(
-                "bases",
-                lambda b: F.struct(
-                    b["id"].alias("id"),
-                    _score(b, {c: F.col(c) for c in feats.columns}).cast("bigint").alias("score"),
-                ),
-            )
-        ).alias("s"),
-    ).select(F.col("s.id").alias("id"), "candidate_id", F.col("s.score").alias("score"), "featured", "created_at")
-    scored = scored.filter("id <> candidate_id")
-    best = Window.partitionBy("id").orderBy(
-        F.desc("score"), F.desc("featured"), F.desc("created_at"), F.desc("candidate_id")
-    )
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-
+from ..functions.text import delimited_set, empty_if_null
 
 def _profile(category: Column, text: Column) -> dict:
     """What of a listing an offer's score depends on: its category and the keyword rules it meets."""

@@ -112,3 +112,40 @@ def dropped_lines(df: DataFrame, key: str, text: str) -> DataFrame:
         .agg(F.count("*").alias("n"))
         .filter("n > 1")
     )
+
+
+def line_stats(df: DataFrame, order: str, text: str) -> DataFrame:
+    """Every line of all records by comparison key: line_key, n_lines, n_rows, and where it is first (row, place, line).
+
+    Two levels of counting: first inside each record, so that a line which most records hold is spread over them, and
+    then over records, combined inside tasks before the shuffle.
+    """
+    from ..functions.text import block_lines, fold
+
+    lines = df.select(F.col(order).alias("row"), F.posexplode(block_lines(F.col(text))).alias("pos", "line"))
+    lines = lines.withColumn("line_key", fold(F.col("line"))).filter("line_key <> ''")
+    inside = lines.groupBy("line_key", "row").agg(F.count("*").alias("n"), F.min(F.struct("pos", "line")).alias("at"))
+    total = inside.groupBy("line_key").agg(
+        F.sum("n").alias("n_lines"), F.count("*").alias("n_rows"), F.min(F.struct("row", "at.pos", "at.line")).alias("first")
+    )
+    return total.select(
+        "line_key", "n_lines", "n_rows", F.col("first.row").alias("first_row"), F.col("first.pos").cast("bigint").alias("first_pos"), F.col("first.line").alias("first_line")
+    )
+
+
+def repeated_lines(stats: DataFrame) -> DataFrame:
+    """The report of lines that occur more than once in the corpus."""
+    return stats.filter("n_lines > 1")
+
+
+def without_repeats(df: DataFrame, order: str, text: str, stats: DataFrame, n_rows: int) -> DataFrame:
+    """``df`` with ``text`` freed of lines that ``n_rows`` records or more hold, but for each line's first place."""
+    from ..functions.text import block_lines, fold
+
+    common = stats.filter(F.col("n_rows") >= n_rows).select("line_key", "first_row", "first_pos")
+    lines = df.select(F.col(order).alias("row"), F.posexplode(block_lines(F.col(text))).alias("pos", "line")).withColumn("line_key", fold(F.col("line")))
+    kept = lines.join(common, "line_key", "left").filter(
+        F.col("first_row").isNull() | ((F.col("row") == F.col("first_row")) & (F.col("pos") == F.col("first_pos")))
+    )
+    built = kept.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("_new"))
+    return df.join(built, F.col(order) == F.col("row"), "left").withColumn(text, F.when(F.col(text).isNotNull(), F.coalesce("_new", F.lit("")))).select(*df.columns)

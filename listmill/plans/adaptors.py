@@ -286,3 +286,38 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CRAWL_SQL = f"crawl AS (SELECT page_id, url, {CRAWL_HTML} AS html FROM pages)"
+
+
+# ---- pages as listing pages of three sources that link to each other ---------------------
+_M = "cast(floor(page_id / 3) + 1 as bigint)"
+_LINKED = {
+    "page_id": "page_id", "source": "concat('s', cast(page_id % 3 as varchar(10)))",
+    "url": f"concat('https://s', cast(page_id % 3 as varchar(10)), '.example.com/list/page/', cast({_M} as varchar(20)))",
+    "html": (
+        "replace(html, '<footer>', concat("
+        f"CASE WHEN {_M} % 5 = 0 THEN concat("
+        "'<div class=\"job-card\"><h2>Finance Manager</h2><p>Prepares reports and plans for the whole team.</p></div>', "
+        "'<div class=\"job-card\"><h2>Registered Nurse</h2><p>Prepares reports and plans for the whole team.</p></div>') ELSE concat("
+        f"'<a href=\"/jobs/', cast({_M} as varchar(20)), '\">one</a><a href=\"/jobs/', cast({_M} + 1 as varchar(20)), '\">two</a>"
+        f"<a href=\"/jobs/', cast({_M} * 7 % 50 as varchar(20)), '\">three</a>') END, "
+        f"'<div class=\"pagination\"><a href=\"/list/page/', cast({_M} * 2 as varchar(20)), '\">', cast({_M} * 2 as varchar(20)), '</a>"
+        f"<a href=\"/list/page/', cast({_M} * 2 + 1 as varchar(20)), '\">', cast({_M} * 2 + 1 as varchar(20)), '</a></div><footer>'))"
+    ),
+}
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored pages as listing pages: page n leads to pages 2n and 2n+1 and to details; every fifth has cards only."""
+    return texts(spark, sf_dir, "pages").select(*[F.expr(e).alias(n) for n, e in _LINKED.items()])
+
+
+LINKED_SQL = "linked AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _LINKED.items()) + " FROM pages)"
+
+
+def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored pages as listing pages with two cards each and no detail links."""
+    card = (
+        "concat('<div class=\"job-card\"><h2>Finance Manager</h2><p>Prepares reports and plans for the whole team.</p></div>', "
+        "'<div class=\"job-card\"><h2>Registered Nurse</h2><p>Prepares reports and plans for the whole team.</p></div>')"
+    )
+    return texts(spark, sf_dir, "pages").select("page_id", "url", F.expr(f"replace(html, '<footer>', concat({card}, '<footer>'))").alias("html"))

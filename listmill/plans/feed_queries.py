@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import vocab as V
 from ..operators import identity as I
+from ..operators import merge as M
 from ..operators import reports as R
 from ..session import cut_lineage, fresh_path, work_dir
 from ..sources import feeds as FD
@@ -178,12 +179,32 @@ def feed_routing(spark, sf_dir):
     return FD.route(_all_payloads(spark, sf_dir), settings(spark)).groupBy("source_name").agg(F.count("*").alias("n"))
 
 
+_PAGES_OF = "CASE page_id % 3 WHEN 0 THEN 'pages_src' WHEN 1 THEN 'odd_src' ELSE 'stranger_src' END"
+
+
+@query(
+    "routing_counts",
+    f"WITH {_ITEMS}, n AS (SELECT count(*) AS n FROM it), b AS (SELECT count(DISTINCT doc_id // {PER_PAYLOAD}) AS p, count(DISTINCT doc_id // {PER_PAYLOAD}) FILTER (WHERE doc_id // {PER_PAYLOAD} % 7 = 6) AS bad FROM documents) "
+    "SELECT s AS source_name, p AS n_payloads, bad AS n_bad, n AS n_records FROM n, b, (VALUES ('rss_src'), ('jobicy_api_src'), ('remoteok_api_src'), ('reliefweb_api_src'), ('greenhouse_api_src'), ('lever_api_src')) t(s) "
+    f"UNION ALL SELECT {_PAGES_OF}, count(*), 0, count(*) * 2 FROM pages GROUP BY 1",
+)
+def routing_counts(spark, sf_dir):
+    """Payloads, unreadable payloads and records per source of a mix of feeds and pages; a third of the pages comes
+    from a source of an unknown type and a third from one without settings."""
+    name = F.when(F.col("page_id") % 3 == 0, "pages_src").when(F.col("page_id") % 3 == 1, "odd_src").otherwise("stranger_src")
+    pages = A.card_pages(spark, sf_dir).select(name.alias("source_name"), "url", F.col("html").alias("payload"))
+    kinds = settings(spark)
+    extra = spark.createDataFrame([("pages_src", "generic"), ("odd_src", "carrier_pigeon")], "source_name string, type string")
+    return FD.routing_counts(_all_payloads(spark, sf_dir).unionByName(pages), kinds.unionByName(extra, allowMissingColumns=True))
+
+
 @query(
     "unreadable_payloads",
-    f"WITH b AS (SELECT DISTINCT doc_id // {PER_PAYLOAD} AS b FROM documents) SELECT 'lever_api_src' AS source_name, count(*) AS n_bad FROM b WHERE b % 7 = 6",
+    f"WITH b AS (SELECT DISTINCT doc_id // {PER_PAYLOAD} AS b FROM documents) SELECT s AS source_name, count(*) AS n_bad FROM b, (VALUES ('rss_src'), ('jobicy_api_src'), ('remoteok_api_src'), ('reliefweb_api_src'), ('greenhouse_api_src'), ('lever_api_src')) t(s) WHERE b % 7 = 6 GROUP BY s",
 )
 def unreadable_payloads(spark, sf_dir):
-    return FD.unreadable(payloads(spark, sf_dir, "lever_api"))
+    """Payloads of every feed type that don't parse."""
+    return FD.unreadable(_all_payloads(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ mapping and ingest
@@ -277,26 +298,74 @@ def stream_placement_counts(spark, sf_dir):
     return _run(E.running_counts(accepted), fresh_path(spark, "stream-counts"), "complete", spark)
 
 
+_WINDOW_DAYS, _LATE_DAYS, _STEPS = 7, 2, 6
+
+
+def _timed_files(spark, sf_dir, columns):
+    """The event log as a folder of files that arrive in order of time, in _STEPS steps of equal length."""
+    e = A.prepare(spark).read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "user_id", "props", F.col("ts").cast("timestamp").alias("ts"))
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    step = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(low))) * _STEPS / (F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)) + 1))
+    rows = cut_lineage(e.select(*columns, step.alias("_step")))
+    folder = fresh_path(spark, "event-files")
+    for k in range(_STEPS):
+        rows.filter(F.col("_step") == k).drop("_step").write.mode("append").parquet(f"{folder}/step={k}")
+    files = spark.read.parquet(folder).drop("step")
+    return spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(folder)
+
+
+@query(
+    "stream_window_counts",
+    A.with_views(A.EVENTS_SQL, A.OFFERS_SQL)
+    + ", a AS (SELECT * FROM ev WHERE offer_id IN (SELECT id FROM offers WHERE is_active)), "
+    f"w AS (SELECT *, make_timestamp(epoch_us(created_at) // {_WINDOW_DAYS * 86_400_000_000} * {_WINDOW_DAYS * 86_400_000_000}) AS w0 FROM a) "
+    f"SELECT CAST(w0 AS VARCHAR) AS window_start, placement_id, count(*) FILTER (WHERE event_type = 'impression') AS impressions, count(*) FILTER (WHERE event_type = 'click') AS clicks "
+    f"FROM w WHERE w0 + INTERVAL {_WINDOW_DAYS} DAY <= (SELECT date_trunc('millisecond', max(created_at)) FROM a) - INTERVAL {_LATE_DAYS} DAY GROUP BY 1, 2",
+)
+def stream_window_counts(spark, sf_dir):
+    """Counts by placement and week from a stream in append mode: a week comes out once the watermark has passed it."""
+    s = _timed_files(spark, sf_dir, ["event_id", "event_type", "user_id", "props", "ts"])
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    log = s.filter(F.col("event_type").isin("view", "click")).select(
+        F.col("event_id").alias("id"), k.alias("offer_id"), F.concat(F.lit("p"), (k % 5).cast("string")).alias("placement_id"),
+        F.when(F.col("event_type") == "view", "impression").otherwise("click").alias("event_type"), F.col("ts").alias("created_at"),
+    )
+    accepted = E.accept_events(log, A.offers(spark, sf_dir))
+    counts = E.running_counts(accepted, window=f"{_WINDOW_DAYS} days", watermark=f"{_LATE_DAYS} days")
+    out = _run(counts, fresh_path(spark, "stream-windows"), "append", spark)
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "placement_id", "impressions", "clicks")
+
+
 LIMIT, WINDOW = 2, 3 * 24 * 3600      # with the test log's rates some requests are rejected
 
+_ADMIT_SQL = (
+    "WITH RECURSIVE q AS (SELECT event_id AS request_id, event_type AS scope, user_id AS client, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS n FROM events), "
+    "w AS (SELECT scope, client, n, request_id, [us] AS held, true AS admitted FROM q WHERE n = 1 UNION ALL "
+    f"SELECT q.scope, q.client, q.n, q.request_id, CASE WHEN len(list_filter(held, t -> t > us - {WINDOW * 1_000_000})) < {LIMIT} THEN list_append(list_filter(held, t -> t > us - {WINDOW * 1_000_000}), us) "
+    f"ELSE list_filter(held, t -> t > us - {WINDOW * 1_000_000}) END, len(list_filter(held, t -> t > us - {WINDOW * 1_000_000})) < {LIMIT} "
+    "FROM w JOIN q ON q.scope = w.scope AND q.client = w.client AND q.n = w.n + 1) SELECT scope, client, request_id, admitted FROM w"
+)
 
-@query("rate_limit_stream")
+
+@query("rate_limit_stream", _ADMIT_SQL)
 def rate_limit_stream(spark, sf_dir):
-    """Sliding-window admission of a request log as a keyed stream; rejected requests do not count."""
-    e = A.prepare(spark).read.parquet(f"{sf_dir}/events.parquet")
-    s = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    log = s.select(F.col("event_id").alias("request_id"), F.col("event_type").alias("scope"), F.col("user_id").alias("client"), "ts")
-    return _run(E.admit_stream(log, "ts", LIMIT, WINDOW), fresh_path(spark, "stream-admission"), "append", spark)
+    """Sliding-window admission of a request log as a stream in order of time; rejected requests do not count."""
+    s = _timed_files(spark, sf_dir, ["event_id", "event_type", "user_id", "ts"])
+    requests = s.select(F.col("event_id").alias("request_id"), F.col("event_type").alias("scope"), F.col("user_id").alias("client"), "ts")
+    log = E.AdmissionLog(spark, fresh_path(spark, "stream-admission"), "ts", LIMIT, WINDOW)
+    E.admit_stream(requests, log).awaitTermination()
+    return log.answers()
 
 
 class SnapshotStore:
     """Versioned snapshots in a shared folder; what is current is read from its commit log.
 
-    A batch starts from the last snapshot of an earlier batch and writes to a folder of its own,
-    so a batch that is tried again repeats the same work and supersedes its first try.
+    A batch starts from the last snapshot of an earlier batch and writes to a folder of its own, so a batch that is tried
+    again repeats the same work and supersedes its first try. Its time is noted before its first try and read by later ones.
     """
 
     LOG = "batch bigint, at timestamp, folder string"
+    BEGUN = "batch bigint, at string"
 
     def __init__(self, spark, root, first):
         self.spark, self.root = spark, root
@@ -308,28 +377,46 @@ class SnapshotStore:
         entry = self.spark.createDataFrame([(batch_id, folder)], "batch bigint, folder string")
         entry.select("batch", F.current_timestamp().alias("at"), "folder").write.mode("append").parquet(f"{self.root}/log")
 
+    def begin(self, batch_id):
+        now = self.spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch"), F.current_timestamp().cast("string").alias("at"))
+        now.write.mode("append").parquet(f"{self.root}/begun")
+        begun = self.spark.read.schema(self.BEGUN).parquet(f"{self.root}/begun")
+        return begun.filter(F.col("batch") == batch_id).agg(F.min("at")).first()[0]
+
     def read(self, before=2**62):
         log = self.spark.read.schema(self.LOG).parquet(f"{self.root}/log").filter(F.col("batch") < before)
         folder = log.agg(F.max_by("folder", F.struct("batch", "at")).alias("f")).first().f
         return self.spark.read.schema(schema.JOBS).parquet(folder)
 
+    def quarantine(self, batch_id, payloads):
+        payloads.write.mode("overwrite").parquet(f"{self.root}/bad/batch={batch_id}")
+
     def commit(self, batch_id, snapshot, actions, checked):
         self._log(batch_id, snapshot)
-        actions.groupBy("action").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.root}/counts/batch={batch_id}")
+        M.action_counts(actions).write.mode("overwrite").parquet(f"{self.root}/counts/batch={batch_id}")
+        M.changed_urls(actions, A.SITE).write.mode("overwrite").parquet(f"{self.root}/changed/batch={batch_id}")
 
 
-@query("incremental_ingest")
-def incremental_ingest(spark, sf_dir):
-    """New payload files to listings, one merge per micro-batch."""
-    folder = fresh_path(spark, "payloads")
-    payloads(spark, sf_dir, "jobicy_api").write.parquet(folder)
-    store = SnapshotStore(spark, fresh_path(spark, "store"), spark.createDataFrame([], schema.JOBS))
-    sources = settings(spark).select(
+def ingest_settings(spark):
+    return settings(spark).select(
         "source_name", "default_location", "default_category", F.lit(None).cast("string").alias("default_company"),
         F.array().cast("array<string>").alias("allowed_locations"), F.lit(True).alias("skip_expired"),
     )
+
+
+def ingest_folder(spark, folder, store, checkpoint, files_per_batch=1000):
+    """All payload files of a folder, of every type, through the ingest stream."""
+    known = settings(spark)
     E.ingest_stream(
-        spark, folder, schema.FEED_PAYLOADS, lambda p: FD.jobicy(p, settings(spark)), sources, store, A.as_of_date(),
-        fresh_path(spark, "ingest-checkpoint"),
+        spark, folder, schema.FEED_PAYLOADS, lambda p: FD.route(p, known), ingest_settings(spark), store, A.as_of_date(), checkpoint, files_per_batch
     ).awaitTermination()
+
+
+@query("incremental_ingest")
+def incremental_ingest(spark, sf_dir):
+    """New payload files of every feed type to listings, one merge per micro-batch."""
+    folder = fresh_path(spark, "payloads")
+    _all_payloads(spark, sf_dir).write.parquet(folder)
+    store = SnapshotStore(spark, fresh_path(spark, "store"), spark.createDataFrame([], schema.JOBS))
+    ingest_folder(spark, folder, store, fresh_path(spark, "ingest-checkpoint"))
     return store.read().select("id", "title", "company", "location", "category", "source_url", "external_job_id")

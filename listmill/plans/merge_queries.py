@@ -69,11 +69,11 @@ def material_changes(spark, sf_dir):
     "overlay_update",
     A.with_views(A.JOBS_SQL, _INC)
     + "SELECT j.id, coalesce(i.title, j.title) AS title, coalesce(i.external_job_id, j.external_job_id) AS external_job_id, coalesce(i.source_url, j.source_url) AS source_url, "
-    "md5(coalesce(i.summary, j.summary)) AS summary FROM jobs j LEFT JOIN inc i ON i.id = j.id AND i.id % 2 = 0",
+    "md5(coalesce(i.summary, j.summary)) AS summary FROM jobs j LEFT JOIN inc i ON i.id = j.id",
 )
 def overlay_update(spark, sf_dir):
     """Non-null values over stored rows; a null never erases."""
-    inc = incoming_jobs(spark, sf_dir).filter("ord % 2 = 0").withColumn("stored_id", F.col("ord"))
+    inc = incoming_jobs(spark, sf_dir).withColumn("stored_id", F.col("ord"))
     rows = M.overlay(A.jobs(spark, sf_dir), inc, "ord", _CMP)
     return rows.select("id", "title", "external_job_id", "source_url", F.md5("summary").alias("summary"))
 
@@ -81,12 +81,12 @@ def overlay_update(spark, sf_dir):
 @query(
     "surrogate_ids",
     A.with_views(A.JOBS_SQL)
-    + "SELECT (SELECT max(id) FROM jobs) + row_number() OVER (ORDER BY id) AS id, id AS ord FROM jobs WHERE category = 'Government'",
+    + "SELECT (SELECT max(id) FROM jobs) + row_number() OVER (ORDER BY id) AS id, id AS ord FROM jobs",
 )
 def surrogate_ids(spark, sf_dir):
     """Ids for inserted rows, in their order, after the largest stored id."""
     jobs = A.jobs(spark, sf_dir)
-    new = jobs.filter("category = 'Government'").select(F.col("id").alias("ord"))
+    new = jobs.select(F.col("id").alias("ord"))
     return M.assign_ids(jobs, new, "ord").select("id", "ord")
 
 

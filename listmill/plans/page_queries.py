@@ -228,26 +228,34 @@ def cards(spark, sf_dir):
 @query("detail_records")
 def detail_records(spark, sf_dir):
     """Raw records of detail pages."""
-    pages = A.crawl_pages(spark, sf_dir)
-    return P.detail_records(pages, P.read_tree(pages))
-
-
-def _frontier_inputs(spark, sf_dir):
-    """Pages as a link graph: page n of a source lists page 2n and 2n+1, and links to details."""
-    p = A.texts(spark, sf_dir, "pages").select(
-        (F.col("page_id") + 1).alias("n"), F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string")).alias("source_name")
-    )
-    url = lambda n: F.concat(F.lit("https://l.example.com/"), n.cast("string"))
-    starts = p.filter("n <= 6").select("source_name", url(F.col("n")).alias("url"), F.col("n").cast("int").alias("pos"))
-    kids = p.select(url(F.col("n")).alias("page_url"), F.explode(F.array(F.col("n") * 2, F.col("n") * 2 + 1)).alias("m"))
-    page_links = kids.select("page_url", url(F.col("m")).alias("url"), (F.col("m") % 2).cast("int").alias("pos"))
-    links = p.select(url(F.col("n")).alias("page_url"), F.posexplode(F.array(F.col("n"), F.col("n") + 1, F.col("n") * 7)).alias("pos", "d"))
-    links = links.select("page_url", F.concat(F.lit("https://d.example.com/"), F.col("d").cast("string")).alias("url"), "pos")
-    sources = p.select("source_name").distinct().select("source_name", F.lit(9).alias("max_pages"), F.lit(12).alias("max_detail"))
-    return starts, page_links, links, sources
+    return P.detail_records(A.crawl_pages(spark, sf_dir))
+
+
+_CAPS = [("s0", 9, 12), ("s1", 40, 500), ("s2", 200, 30)]
+_FRONTIER_SQL = (
+    "WITH RECURSIVE " + A.LINKED_SQL + ", "
+    + "caps AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', {p}, {d})" for s, p, d in _CAPS) + ") t(source, max_pages, max_detail)), "
+    + "g AS (SELECT source, url, 'https://' || source || '.example.com' AS root, regexp_extract_all(html, 'href=\"(/list/page/\\d+)\"', 1) AS kids, regexp_extract_all(html, 'href=\"(/jobs/\\d+)\"', 1) AS jobs, "
+    + "CASE WHEN contains(html, 'job-card') THEN 2 ELSE 0 END AS direct FROM linked), "
+    + "w AS (SELECT source, 1 AS i, ['https://' || source || '.example.com/list/page/1'] AS queue, max_pages FROM caps UNION ALL "
+    + "SELECT w.source, i + 1, list_concat(queue, list_filter(list_transform(CASE WHEN g.direct = 0 THEN g.kids ELSE [] END, x -> g.root || x), x -> NOT list_contains(queue, x))[1 : max_pages - len(queue)]), max_pages "
+    + "FROM w LEFT JOIN g ON g.url = w.queue[i] WHERE i <= len(queue)), "
+    + "v AS (SELECT w.source, w.i AS n, g.url, g.root, g.jobs, g.direct FROM w JOIN g ON g.url = w.queue[w.i] WHERE w.i <= len(w.queue)), "
+    + "d AS (SELECT source, root || job AS url, min(n * 1000 + pos) AS o FROM (SELECT source, n, root, unnest(jobs) AS job, unnest(range(len(jobs))) AS pos FROM v WHERE direct = 0) GROUP BY 1, 2), "
+    + "a AS (SELECT v.source, v.n, direct AS r, (SELECT count(*) FROM d WHERE d.source = v.source AND d.o // 1000 = v.n) AS d FROM v), "
+    + "s AS (SELECT *, sum(r) OVER q AS rs, sum(d) OVER q AS ds FROM a JOIN caps USING (source) WINDOW q AS (PARTITION BY source ORDER BY n)), "
+    + "e AS (SELECT source, min(n) AS stop FROM s WHERE rs >= max_detail OR ds >= max_detail GROUP BY 1), "
+    + "k AS (SELECT d.source, url, row_number() OVER (PARTITION BY d.source ORDER BY o) AS rank FROM d LEFT JOIN e ON e.source = d.source WHERE stop IS NULL OR o // 1000 <= stop) "
+    + "SELECT k.source AS source_name, 'detail' AS kind, url, rank, CAST(1 AS BIGINT) AS n_records FROM k JOIN caps USING (source) WHERE rank <= max_detail UNION ALL "
+    + "SELECT s.source, 'direct', v.url, CAST(s.n AS BIGINT), CAST(least(r, max_detail - (rs - r)) AS BIGINT) FROM s JOIN v ON v.source = s.source AND v.n = s.n LEFT JOIN e ON e.source = s.source WHERE r > 0 AND (stop IS NULL OR s.n <= stop)"
+)
 
 
-@query("frontier_caps")
+@query("frontier_caps", _FRONTIER_SQL)
 def frontier_caps(spark, sf_dir):
-    """Breadth-first walk of stored listing pages under each source's caps."""
-    return P.frontier(*_frontier_inputs(spark, sf_dir))
+    """Breadth-first walk over the links found in stored listing pages, under each source's caps."""
+    pages = A.linked_pages(spark, sf_dir)
+    caps = spark.createDataFrame(_CAPS, "source_name string, max_pages int, max_detail int")
+    root = F.concat(F.lit("https://"), F.col("source_name"), F.lit(".example.com/list/page/1"))
+    starts = caps.select("source_name", root.alias("url"), F.lit(0).alias("pos"))
+    return P.frontier(starts, *P.listing_links(pages), caps)

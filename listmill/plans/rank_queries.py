@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..operators import rank as R
-from ..operators import search as S
+from ..operators.similar import similar
 from . import adaptors as A
 from . import duck as D
 from .registry import query
@@ -66,8 +66,7 @@ def _similar_sql():
     return A.with_views(
         A.JOBS_SQL, *D.public_ctes("jobs"),
         f"c AS (SELECT {feats} FROM pub WHERE is_public)",
-        f"v AS (SELECT * FROM jobs WHERE {D.ACTIVE} ORDER BY featured DESC, created_at DESC, id DESC LIMIT 20)",
-        f"b AS (SELECT {feats} FROM v)",
+        f"b AS (SELECT {feats} FROM jobs)",
         f"s AS (SELECT b.id, c.id AS candidate_id, {score} AS score, c.featured, c.created_at FROM b, c WHERE b.id <> c.id)",
         "r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, featured DESC, created_at DESC, candidate_id DESC) AS rank FROM s)",
     ) + "SELECT id, rank, candidate_id, cast(score AS bigint) AS score FROM r WHERE rank <= 4"
@@ -75,8 +74,7 @@ def _similar_sql():
 
 @query("similar_items", _similar_sql())
 def similar_items(spark, sf_dir):
-    """Four similar listings for each listing of the first result page, over the whole table."""
+    """Four similar public listings for every listing of the table."""
     jobs = A.jobs(spark, sf_dir)
-    viewed = S.search_page(jobs, A.as_of_date(), public_only=False)
-    rows = R.similar(jobs, viewed, A.as_of_date())
+    rows = similar(jobs, jobs, A.as_of_date())
     return rows.select("id", F.col("rank").cast("bigint").alias("rank"), "candidate_id", "score")

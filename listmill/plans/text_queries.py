@@ -6,6 +6,8 @@ from ..functions import classify as C
 from ..functions import text as T
 from ..functions import vocab as V
 from ..operators.reports import dropped_lines
+from ..operators.reports import line_stats as corpus_line_stats
+from ..operators.reports import repeated_lines as repeated_corpus_lines
 from . import adaptors as A
 from . import duck as D
 from .registry import query
@@ -67,6 +69,32 @@ def repeated_lines(spark, sf_dir):
     return dropped_lines(A.texts(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+_LINES = f"l AS (SELECT doc_id, unnest({D.block_lines('text')}) AS line, unnest(range(len({D.block_lines('text')}))) AS pos FROM documents), k AS (SELECT *, {D.fold('line')} AS line_key FROM l)"
+
+
+@query(
+    "line_stats",
+    A.with_views(_LINES)
+    + "SELECT line_key, count(*) AS n_lines, count(DISTINCT doc_id) AS n_rows, arg_min(doc_id, doc_id * 1000000 + pos) AS first_row, arg_min(pos, doc_id * 1000000 + pos) AS first_pos, "
+    "arg_min(line, doc_id * 1000000 + pos) AS first_line FROM k WHERE line_key <> '' GROUP BY 1 HAVING count(*) > 1",
+)
+def line_stats(spark, sf_dir):
+    """Lines that occur more than once in all records together, with their counts and first place."""
+    return repeated_corpus_lines(corpus_line_stats(A.texts(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+_PHRASES = ["3 June", "June 3rd", "the 15th of May", "June 2023", "5 Aug 23", "Friday", "Wednesday 10:30", "4/9", "2023", "November", "31st", "by 17:00 on 12 October"]
+_PHRASE = A._pick_expr(_PHRASES, "doc_id % 12")
+_READ = ["2024-06-03", "2024-06-03", "2024-05-15", "2023-06-01", "2023-08-05", "2024-07-05", "2024-07-03", "2024-04-09", "2023-07-01", "2024-11-01", "2024-07-31", "2024-10-12"]
+
+
+@query("fuzzy_dates", f"SELECT doc_id, {A._pick_expr(_READ, 'doc_id % 12')} AS day FROM documents")
+def fuzzy_dates(spark, sf_dir):
+    """Deadline texts that name only parts of a date, filled from the day of the run."""
+    text = F.concat(F.lit("Deadline: "), F.expr(_PHRASE), F.lit("\n"), F.col("text"))
+    return A.texts(spark, sf_dir, "documents").select("doc_id", C.deadline(text, A.as_of_date()).alias("day"))
+
+
 @query("slug", A.with_views(A.JOBS_SQL) + f"SELECT id, {D.slug('title')} AS slug, {D.slug('source_url')} AS url_slug FROM jobs")
 def slug(spark, sf_dir):
     return A.jobs(spark, sf_dir).select(

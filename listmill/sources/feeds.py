@@ -10,7 +10,8 @@ from ..functions import classify as C
 from ..functions import vocab as V
 from ..functions.text import clean_text, empty_if_null, null_if_empty, one_line
 from ..functions.urls import normalize_url, path
-from ..operators.pages import html_to_text
+from ..operators.pages import html_to_text, page_records
+from ..session import cut_lineage
 
 RAW_COLUMNS = [
     "source_name", "source_url", "title", "company", "location", "category", "summary",
@@ -28,12 +29,25 @@ def _items(feeds: DataFrame, *paths: str) -> DataFrame:
     """One row per element of the first array found under the paths ("$" is the whole document)."""
     doc = feeds.withColumn("_doc", F.try_parse_json("payload"))
     arrays = F.coalesce(*[F.try_variant_get("_doc", p, "array<variant>") for p in paths])
-    return doc.select("source_name", "url", F.posexplode(arrays).alias("pos", "i"))
+    return doc.select("source_name", "url", *_place(feeds), F.posexplode(arrays).alias("pos", "i"))
+
+
+def _place(feeds: DataFrame) -> list[str]:
+    """Columns that say where a payload comes from; they stay with its records where the payloads have them."""
+    return [c for c in ("file", "row") if c in feeds.columns]
+
+
+def is_unreadable(payload: Column) -> Column:
+    """A payload that is neither JSON nor, where it begins like markup, well-formed XML."""
+    broken = F.from_xml(payload, "_corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "rowTag": "rss"})
+    as_xml = broken.isNull() | broken["_corrupt_record"].isNotNull()
+    return F.when(F.ltrim(payload).startswith("<"), as_xml).otherwise(F.try_parse_json(payload).isNull())
 
 
 def unreadable(feeds: DataFrame) -> DataFrame:
-    """Quarantine: JSON payloads that do not parse, with counts per source."""
-    return feeds.filter(F.try_parse_json("payload").isNull()).groupBy("source_name").agg(F.count("*").alias("n_bad"))
+    """Quarantine: payloads, JSON or RSS, that do not parse, with counts per source."""
+    bad = feeds.filter(F.coalesce(is_unreadable(F.col("payload")), F.lit(True)))
+    return bad.groupBy("source_name").agg(F.count("*").alias("n_bad"))
 
 
 def _first(i, *fields) -> Column:
@@ -61,8 +75,9 @@ def _names(i, field: str) -> Column:
 
 def _finish(rows: DataFrame, settings: DataFrame | None, **cols: Column) -> DataFrame:
     """Select the raw record; the source's default place and category fill gaps."""
+    place = [c for c in ("file", "row", "pos") if "row" in rows.columns]
     out = rows.select(
-        "source_name",
+        "source_name", *place,
         *[cols.get(n, F.lit(None)).cast("string").alias(n) for n in RAW_COLUMNS if n != "source_name"],
     )
     if settings is None:
@@ -73,7 +88,7 @@ def _finish(rows: DataFrame, settings: DataFrame | None, **cols: Column) -> Data
             "location": F.coalesce(null_if_empty(F.col("location")), "default_location"),
             "category": F.coalesce("category", "default_category"),
         }
-    ).select(*RAW_COLUMNS)
+    ).select(*place, *RAW_COLUMNS)
 
 
 def _requirements(text: Column) -> Column:
@@ -219,7 +234,7 @@ def rss(feeds: DataFrame, settings=None) -> DataFrame:
     doc = feeds.withColumn(
         "_doc", F.from_xml("payload", RSS_SCHEMA, {"mode": "PERMISSIVE", "rowTag": "rss"})
     )
-    rows = doc.select("source_name", "url", F.posexplode("_doc.channel.item").alias("pos", "i"))
+    rows = doc.select("source_name", "url", *_place(feeds), F.posexplode("_doc.channel.item").alias("pos", "i"))
     f = lambda n: clean_text(F.col(f"i.{n}"), keep_lines=True)
     html = F.coalesce(null_if_empty(f("description")), f("`content:encoded`"))
     cats = F.filter(F.transform("i.category", one_line), lambda t: t != "")
@@ -248,11 +263,34 @@ FEED_TYPES = {
 
 
 def route(feeds: DataFrame, settings: DataFrame) -> DataFrame:
-    """Flatten a mix of feeds, each by its source's type; pages of other types are not feeds."""
-    kinds = settings.select("source_name", F.col("type").alias("_type"))
-    typed = feeds.join(kinds, "source_name")
-    out = None
+    """Flatten a mix of payloads, each by its source's type.
+
+    Feed types have their own form. Every other type, an unknown or missing one and sources without settings too, is
+    read as a stored page: a detail page gives its record, a page without detail links its cards.
+    """
+    kinds = settings.select("source_name", F.lower(F.trim("type")).alias("_type"))
+    typed = feeds.join(kinds, "source_name", "left").withColumn("_type", F.coalesce("_type", F.lit("generic")))
+    out = page_payloads(typed.filter(~F.col("_type").isin(*FEED_TYPES)), settings)
     for kind, flatten in FEED_TYPES.items():
-        rows = flatten(typed.filter(F.col("_type") == kind), settings)
-        out = rows if out is None else out.unionByName(rows)
+        out = out.unionByName(flatten(typed.filter(F.col("_type") == kind), settings), allowMissingColumns=True)
     return out
+
+
+def page_payloads(feeds: DataFrame, settings: DataFrame | None) -> DataFrame:
+    """Records of payloads that are pages."""
+    keep = [*_place(feeds), "source_name", "url"]
+    # payloads may repeat; each counts on its own
+    pages = cut_lineage(feeds.select(*keep, F.col("payload").alias("html")).withColumn("page_id", F.monotonically_increasing_id()))
+    records = page_records(pages.select("page_id", "source_name", "url", "html"))
+    placed = records.drop("source_name").join(pages.drop("html"), "page_id")
+    given = {c: F.col(c) for c in RAW_COLUMNS if c in records.columns and c != "source_name"}
+    return _finish(placed, settings, **given)
+
+
+def routing_counts(feeds: DataFrame, settings: DataFrame) -> DataFrame:
+    """Per source: payloads, unreadable ones, records; every source of the payloads has a row."""
+    sides = feeds.groupBy("source_name").agg(F.count("*").alias("n_payloads")), unreadable(feeds), route(feeds, settings).groupBy("source_name").agg(F.count("*").alias("n_records"))
+    out = sides[0]
+    for side in sides[1:]:
+        out = out.join(side.withColumnRenamed("source_name", "_name"), F.col("source_name").eqNullSafe(F.col("_name")), "left").drop("_name")
+    return out.select("source_name", "n_payloads", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_bad", "n_records")])

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from listmill.operators import html_pass, pages, rank
+from listmill.operators import html_pass, pages, similar
 from listmill.plans.ingest import map_records
 
 
@@ -17,12 +17,12 @@ def test_deep_pages_are_read():
 
 
 def test_more_viewed_listings_than_one_scan_takes(spark):
-    n = rank.BASES_PER_SCAN + 10
+    n = 266
     jobs = spark.range(n).select(
         "id", F.concat(F.lit("Role "), F.col("id") % 7).alias("title"), F.lit("Other").alias("category"), F.lit(False).alias("featured"),
         F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit("").alias("tags"), F.lit("").alias("summary"), F.lit("").alias("location"),
     )
-    got = rank.similar(jobs, jobs, F.lit("2024-01-02").cast("date"), k=2, public_only=False)
+    got = similar.similar(jobs, jobs, F.lit("2024-01-02").cast("date"), k=2, public_only=False)
     assert got.groupBy("id").count().where("count = 2").count() == n
 
 

@@ -12,7 +12,7 @@ from listmill.functions.text import content_hash
 from listmill.operators import identity as I
 from listmill.operators import merge as M
 from listmill.operators import pages as P
-from listmill.operators import scan
+from listmill.operators import resolve, scan
 from listmill.operators import search as S
 from listmill.plans.ingest import map_records, validate
 from listmill.sources import feeds, tables
@@ -87,7 +87,7 @@ def test_match_equals_scan_of_stored_rows(spark, seed):
     stored, new = make_rows(seed, 25), make_rows(seed + 100, 25)
     cur = with_hash(spark.createDataFrame(stored, "id bigint, " + ROW))
     inc = with_hash(spark.createDataFrame(new, "ord bigint, " + ROW))
-    got = {r["ord"]: r["stored_id"] for r in I.match_existing(inc, cur, "ord").collect()}
+    got = {r["ord"]: r["stored_id"] for r in resolve.match_existing(inc, cur, "ord").collect()}
     for n in new:
         want = None
         for s in stored:
@@ -121,8 +121,10 @@ def test_prior_values_and_numbering_do_not_depend_on_chunks(spark):
     for size in (1, 4, 1000):
         got = {(r["g"], r["o"]): r["prev_v"] for r in scan.prior_values(df, ["g"], "o", ["v"], size).collect()}
         assert all(got["a", o] == (None if o == 0 else (o - 1) // 3 * 3) for o in range(50))
-        n = scan.number_rows(df.filter("g = 'a'"), "o", "n", size)
-        assert all(r["n"] == r["o"] + 1 for r in n.collect())
+    sparse = df.filter("g = 'a'").select("o", (F.col("o") * 10**15).alias("far"), F.col("o").cast("string").alias("s"))
+    for order, want in (("far", range(50)), (["s", "o"], sorted(range(50), key=str))):
+        n = scan.number_rows(sparse, order, "n").collect()
+        assert [r["o"] for r in sorted(n, key=lambda r: r["n"])] == list(want) and sorted(r["n"] for r in n) == list(range(1, 51))
 
 
 def admitted_one_by_one(times, limit, window):
@@ -161,7 +163,7 @@ PAGE = (
 
 def test_detail_page_to_record(spark):
     df = spark.createDataFrame([(1, "https://a.example/jobs/1", PAGE), (2, "https://a.example/x", None)], "page_id bigint, url string, html string")
-    rows = P.detail_records(df, P.read_tree(df)).collect()
+    rows = P.detail_records(df).collect()
     assert len(rows) == 1
     r = rows[0]
     assert (r["title"], r["company"], r["location"], r["expires_at"]) == ("Field Officer", "Acme Trust", "Harare", "2026-06-03")
@@ -180,7 +182,8 @@ def test_feeds_and_bad_payload(spark):
     ]
     assert feeds.unreadable(df).first()["n_bad"] == 1
     xml = "<rss><channel><item><title>Acme Ltd: Nurse</title><link>https://w.example/1</link><pubDate>Tue, 09 Jun 2026 10:00:00 +0000</pubDate><category>Africa</category><description>&lt;p&gt;Care&lt;/p&gt;</description></item></channel></rss>"
-    df = spark.createDataFrame([("w", "https://w.example", xml), ("w", "https://w.example", "<rss><chan")], "source_name string, url string, payload string")
+    df = spark.createDataFrame([("w", "https://w.example", xml), ("w", "https://w.example", "<rss><chan"), ("w", "u", None), ("w", "u", " {}")], "source_name string, url string, payload string")
+    assert feeds.unreadable(df).first()["n_bad"] == 2
     out = feeds.rss(df).collect()
     assert [(r["company"], r["title"], r["location"], r["posted_at"], r["summary"]) for r in out] == [("Acme Ltd", "Nurse", "Remote / Africa", "2026-06-09", "Care")]
 
