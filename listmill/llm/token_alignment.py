@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -22,6 +25,10 @@ PART_BYTES = 1 << 18
 # texts that make up more than one row in HOT_SHARE are looked up through a broadcast; there are fewer than HOT_SHARE
 HOT_SHARE = 2_000
 
+# How the byte-level tokenizer parts a text, and characters whose class may depend on a library's Unicode version.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_RARE = re.compile("[^\x00-\u024f\u2010-\u2027]")
+
 _LONG = T.LongType()
 MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 _TEXT = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("groups_sha256", T.StringType()), *[T.StructField(m, _LONG) for m in MEASURES]])
@@ -47,16 +54,23 @@ class Tokenizers:
         # one thread a task: Spark has a task on every core
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.path_a = path_a
+        with open(path_a, encoding="utf-8") as f:
+            said = json.load(f)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         back = byte_level()
-        entries = self.a.get_vocab(with_added_tokens=True)
+        special = {t["content"]: t["id"] for t in said["added_tokens"]}
+        entries = said["model"]["vocab"] | special
         self.bytes_a = [b""] * (max(entries.values()) + 1)
         for piece, i in entries.items():
-            self.bytes_a[i] = bytes(back[c] for c in piece) if all(c in back for c in piece) else piece.encode()
+            self.bytes_a[i] = piece.encode() if piece in special else bytes(back[c] for c in piece)
+        # where merges are ranked in the order of their ids, the same merges can be run by the quicker library
+        made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in said["model"]["merges"]]
+        ordered = all(entries[x] < entries[y] for x, y in zip(made, made[1:]))
+        ranks = {self.bytes_a[i]: i for piece, i in entries.items() if piece not in special}
+        self.quick = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ordered else None
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(p) for p in of], np.int64) for of in (self.bytes_a, self.bytes_b))
         # decimal ids as rows of digits, with room for the mark that follows
@@ -70,13 +84,30 @@ class Tokenizers:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
+    @cached_property
+    def a(self):
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path_a)
+        out.encode_special_tokens = True
+        return out
+
+    def _encode_a(self, texts: list[str]) -> list[list[int]]:
+        """Ids by A. Texts of Latin letters and common signs, on whose classes all libraries agree, take the quick way."""
+        out: list = [None if self.quick is None or _RARE.search(t) else self.quick.encode_ordinary(t) for t in texts]
+        rest = [k for k, x in enumerate(out) if x is None]
+        if rest:
+            encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
+            for k, e in zip(rest, encode([texts[k] for k in rest], add_special_tokens=False)):
+                out[k] = e.ids
+        return out
+
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of every text by A (of a blank and the text) and by B; none where joined bytes differ from blank and text."""
-        fast = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
         out_a, out_b, none = [], [], np.zeros(0, np.int32)
         piece_a, piece_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
         for part in _parts(texts, PART_BYTES):
-            a = [e.ids for e in fast([" " + (t or "") for t in part], add_special_tokens=False)]
+            a = self._encode_a([" " + (t or "") for t in part])
             b = self.b.encode([t or "" for t in part], num_threads=1)
             for t, x, y in zip(part, a, b):
                 whole = (" " + t).encode("utf-8", "replace") if t else None
