@@ -341,8 +341,8 @@ LIMIT, WINDOW = 2, 3 * 24 * 3600      # with the test log's rates some requests
 _ADMIT_SQL = (
     "WITH RECURSIVE q AS (SELECT event_id AS request_id, event_type AS scope, user_id AS client, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS n FROM events), "
     "w AS (SELECT scope, client, n, request_id, [us] AS held, true AS admitted FROM q WHERE n = 1 UNION ALL "
-    f"SELECT q.scope, q.client, q.n, q.request_id, CASE WHEN len(list_filter(held, t -> t > us - {WINDOW * 1_000_000})) < {LIMIT} THEN list_append(list_filter(held, t -> t > us - {WINDOW * 1_000_000}), us) "
-    f"ELSE list_filter(held, t -> t > us - {WINDOW * 1_000_000}) END, len(list_filter(held, t -> t > us - {WINDOW * 1_000_000})) < {LIMIT} "
+    f"SELECT q.scope, q.client, q.n, q.request_id, CASE WHEN len(list_filter(held, lambda t: t > us - {WINDOW * 1_000_000})) < {LIMIT} THEN list_append(list_filter(held, lambda t: t > us - {WINDOW * 1_000_000}), us) "
+    f"ELSE list_filter(held, lambda t: t > us - {WINDOW * 1_000_000}) END, len(list_filter(held, lambda t: t > us - {WINDOW * 1_000_000})) < {LIMIT} "
     "FROM w JOIN q ON q.scope = w.scope AND q.client = w.client AND q.n = w.n + 1) SELECT scope, client, request_id, admitted FROM w"
 )
 

@@ -238,7 +238,7 @@ _FRONTIER_SQL = (
     + "g AS (SELECT source, url, 'https://' || source || '.example.com' AS root, regexp_extract_all(html, 'href=\"(/list/page/\\d+)\"', 1) AS kids, regexp_extract_all(html, 'href=\"(/jobs/\\d+)\"', 1) AS jobs, "
     + "CASE WHEN contains(html, 'job-card') THEN 2 ELSE 0 END AS direct FROM linked), "
     + "w AS (SELECT source, 1 AS i, ['https://' || source || '.example.com/list/page/1'] AS queue, max_pages FROM caps UNION ALL "
-    + "SELECT w.source, i + 1, list_concat(queue, list_filter(list_transform(CASE WHEN g.direct = 0 THEN g.kids ELSE [] END, x -> g.root || x), x -> NOT list_contains(queue, x))[1 : max_pages - len(queue)]), max_pages "
+    + "SELECT w.source, i + 1, list_concat(queue, list_filter(list_transform(CASE WHEN g.direct = 0 THEN g.kids ELSE [] END, lambda x: g.root || x), lambda x: NOT list_contains(queue, x))[1 : max_pages - len(queue)]), max_pages "
     + "FROM w LEFT JOIN g ON g.url = w.queue[i] WHERE i <= len(queue)), "
     + "v AS (SELECT w.source, w.i AS n, g.url, g.root, g.jobs, g.direct FROM w JOIN g ON g.url = w.queue[w.i] WHERE w.i <= len(w.queue)), "
     + "d AS (SELECT source, root || job AS url, min(n * 1000 + pos) AS o FROM (SELECT source, n, root, unnest(jobs) AS job, unnest(range(len(jobs))) AS pos FROM v WHERE direct = 0) GROUP BY 1, 2), "

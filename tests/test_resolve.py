@@ -84,8 +84,9 @@ def worlds(seeds):
     for seed in range(seeds):
         rng = random.Random(seed)
         stored += [pick(rng, seed) for _ in range(4)]
-        rows = [pick(rng, seed) for _ in range(7)]
-        rows[seed % 7][3] = None
+        rows = [pick(rng, seed) for _ in range(6)]
+        rows[seed % 6][3] = None
+        rows[(seed + 3) % 6] = list(rng.choice(stored[-4:]))
         incoming += rows
     return list(enumerate(stored, 1)), list(enumerate(incoming, 100))
 
