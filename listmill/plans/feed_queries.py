@@ -404,19 +404,20 @@ def ingest_settings(spark):
     )
 
 
-def ingest_folder(spark, folder, store, checkpoint, files_per_batch=1000):
-    """All payload files of a folder, of every type, through the ingest stream."""
+def ingest_folder(spark, folder, store, checkpoint, files_per_batch=1000, flatten=None):
+    """All payload files of a folder through the ingest stream; of every type unless ``flatten`` reads one."""
     known = settings(spark)
+    read = flatten or FD.route
     E.ingest_stream(
-        spark, folder, schema.FEED_PAYLOADS, lambda p: FD.route(p, known), ingest_settings(spark), store, A.as_of_date(), checkpoint, files_per_batch
+        spark, folder, schema.FEED_PAYLOADS, lambda p: read(p, known), ingest_settings(spark), store, A.as_of_date(), checkpoint, files_per_batch
     ).awaitTermination()
 
 
 @query("incremental_ingest")
 def incremental_ingest(spark, sf_dir):
-    """New payload files of every feed type to listings, one merge per micro-batch."""
+    """New payload files, which hold every document, to listings, one merge per micro-batch."""
     folder = fresh_path(spark, "payloads")
-    _all_payloads(spark, sf_dir).write.parquet(folder)
+    payloads(spark, sf_dir, "jobicy_api").write.parquet(folder)
     store = SnapshotStore(spark, fresh_path(spark, "store"), spark.createDataFrame([], schema.JOBS))
-    ingest_folder(spark, folder, store, fresh_path(spark, "ingest-checkpoint"))
+    ingest_folder(spark, folder, store, fresh_path(spark, "ingest-checkpoint"), flatten=FD.jobicy)
     return store.read().select("id", "title", "company", "location", "category", "source_url", "external_job_id")
