@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage, work_dir
-from .common import SPACES
+from .common import SPACES, stored
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _SETTINGS = {
@@ -88,7 +88,8 @@ def dedup(spark: SparkSession, path: str, digest=sha256, files_per_batch: int =
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
     docs = spark.read.schema(schema).parquet(path)
     state = stream_state(spark, path, schema, digest, files_per_batch)
-    joined = _entries(docs, digest).join(state, "digest").withColumn("place", F.col("copy.place"))
+    # these narrow rows are read several times, the texts they come from only once more, for hits
+    joined = stored(_entries(docs, digest)).join(state, "digest").withColumn("place", F.col("copy.place"))
     hits = joined.where((F.col("group_size") > 1) & (F.col("place") != F.col("best.place")))
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     content = docs.select(place.alias("place"), normalised(F.col("text")).alias("bytes"))
