@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, byte_ngrams, sieve
+from .common import SPACES, byte_ngrams, sieve, small_batches
 
 # Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -18,6 +18,8 @@ MAX_REPEAT_PERCENT = 50
 
 ORDERS = (1, 2, 3)
 BITS = 16
+# partial counts travel in so many arrays a partition, and are first added up in so many tasks
+SLICES, FIRST_SUMS = 16, 64
 # mean log ratio per n-gram under which a text is dropped: far from the trusted texts, which lie around zero
 MARGIN = -0.3
 
@@ -57,10 +59,13 @@ def buckets(text: str) -> np.ndarray:
 
 
 def bucket_counts(texts: DataFrame) -> np.ndarray:
-    """Counts of all hashed n-grams of every ``text``: each partition adds up its own, Spark adds up the partitions.
+    """Counts of all hashed n-grams of every ``text``, 2**BITS numbers whatever the input's size.
 
-    The result has 2**BITS numbers whatever the input's size.
+    Each partition adds up its own and hands on SLICES rows, each an array of the counts of neighbouring buckets. Tasks
+    add up arrays as they stream in: first spread evenly, then by slice, so that no task gets a row of every partition.
     """
+    width = (1 << BITS) // SLICES
+    schema = "slice int, counts array<long>"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << BITS, np.int64)
@@ -70,13 +75,25 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
                     total += np.bincount(buckets(t), minlength=1 << BITS) if len(t) > 20000 else 0
                     if len(t) <= 20000:
                         np.add.at(total, buckets(t), 1)
-        full = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": full, "n": total[full]})
+        if total.any():
+            yield pd.DataFrame({"slice": range(SLICES), "counts": list(total.reshape(SLICES, width))})
 
-    rows = texts.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << BITS, np.int64)
-    out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return out
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for k, part in zip(pdf["slice"], pdf["counts"]):
+                sums[k] = sums[k] + part if k in sums else np.array(part, np.int64)
+        if sums:
+            yield pd.DataFrame({"slice": list(sums), "counts": list(sums.values())})
+
+    # arrays of 32 KB: few to an Arrow batch
+    with small_batches(texts.sparkSession, 256):
+        own = texts.select("text").mapInPandas(count, schema)
+        rows = own.repartition(FIRST_SUMS).mapInPandas(add, schema).repartition(SLICES, "slice").mapInPandas(add, schema).collect()
+    out = np.zeros((SLICES, width), np.int64)
+    for r in rows:
+        out[r["slice"]] += np.array(r["counts"], np.int64)
+    return out.ravel()
 
 
 def ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
