@@ -5,10 +5,13 @@ the caller. Groups are wanted, not pairs, and that allows the work to stay near
 
 1. every node is paired with the smallest node of each of its lists. Of these pairs, each node's first is verified;
 2. then those of the other star pairs whose ends aren't in one group yet;
-3. last, in lists that still touch several groups, the pairs across groups. A pair inside a group can't change it.
+3. in lists that still touch several groups, a node picked by hash is paired with the nodes of other groups, of which
+   each verifies one pair; this goes on with other picks while it merges much, so that near copies which happen not to
+   link with the smallest one meet others soon. These rounds save work, what they leave comes up in the last step;
+4. last, in lists that still touch several groups, the pairs across groups. A pair inside a group can't change it.
 
 Pairs are asked about only if they share as many lists as a link must. Steps 1 and 2 count the lists with the smallest
-node as one end, step 3 all of them, so what the first two pass over comes up in the third.
+node as one end, step 4 all of them, so what the others pass over comes up in the last.
 
 Every pair that shares a list is thus verified, or skipped because both ends are in one group already, or ruled out by
 the caller's cheap bound; no list, however long, is cut. Everything is joins, windows and grouping by Spark; long groups
@@ -24,6 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+# rounds of step 3 go on while one pair in so many merges groups; neither number changes what is found
+MOST_ROUNDS, MERGES_ONE_IN = 8, 10
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the ends of ``edges`` (a, b): label is the smallest node of the connected group.
@@ -103,12 +109,30 @@ def groups(
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
-    members = star.select("token", "node").unionByName(star.select("token", F.col("pivot").alias("node")).distinct())
-    members = members.join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
-    mixed = members.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("pivot")).where(F.col("low") != F.col("high"))
+    every = star.select("token", "node").unionByName(star.select("token", F.col("pivot").alias("node")).distinct())
     # a list of two has no pair beside its star pair
-    longer = mixed.join(star.groupBy("token").count().where(F.col("count") > 1).select("token"), "token", "left_semi").select("token", "pivot")
-    open_ = stored(members.join(longer, "token").where(F.col("node") != F.col("pivot")).join(nodes, "node"))
+    members = every.join(star.groupBy("token").count().where(F.col("count") > 1).select("token"), "token", "left_semi")
+
+    def touching_several(lists_: DataFrame) -> DataFrame:
+        named = lists_.join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
+        mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("pivot")).where(F.col("low") != F.col("high"))
+        return named.join(mixed.select("token", "pivot"), "token")
+
+    for turn in range(MOST_ROUNDS):
+        now = stored(touching_several(members).select("token", "node", "label"))
+        members = now.select("token", "node")
+        picked = now.groupBy("token").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("pick"))
+        met = now.join(picked, "token").where(F.col("label") != F.col("pick.label")).groupBy(F.col("pick.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+        near = met.join(end("b"), "b").join(end("a"), "a").where(bound).groupBy("b").agg(F.max_by("a", F.struct("shared", F.bitwise_not("a"))).alias("a"))
+        asked = stored(near.select("a", "b"))
+        found = stored(verifier(asked)(asked))
+        n = found.count()
+        if n:
+            links = links.unionByName(found)
+            labels = components(links)
+        if n * MERGES_ONE_IN < asked.count() or not n:
+            break
+    open_ = stored(touching_several(members).where(F.col("node") != F.col("pivot")).join(nodes, "node").drop("pivot"))
     side = lambda s: open_.select("token", F.col("node").alias(s), F.col("label").alias(f"{s}_label"), *[F.col(c).alias(f"{s}_{c}") for c in attributes])
     beside = (
         side("a").join(side("b"), "token")
