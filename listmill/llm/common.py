@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -121,6 +121,17 @@ def sieve(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -
     return rows.where(F.getbit(F.get(bitmap, F.shiftright(slot(key), 6)), slot(key) % 64) == 1)
 
 
+def aside(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with every column but ``own`` renamed, so that none clashes with an operator's own columns, and the
+    function that gives a result its first names and order back, any further columns named to it last."""
+    others = {c: f"other_{i}" for i, c in enumerate(docs.columns) if c not in own}
+
+    def back(out: DataFrame, *more: str) -> DataFrame:
+        return out.select(*[F.col(others[c]).alias(c) if c in others else F.col(c) for c in docs.columns], *more)
+
+    return docs.select(*[F.col(f"`{c}`").alias(others.get(c, c)) for c in docs.columns]), back
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__hash`` of the text and ``__copy``, the number of a row among those with its doc_id and text.
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, byte_ngrams
+from .common import aside, bounded_sample, byte_ngrams
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -129,5 +129,5 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
     found = name(F.col("text"))
     new = ["lang_pred", "lang_score", "lang_rejected"]
-    base = docs.drop(*new)
-    return base.select("*", found.alias("__lang")).select(*[f"`{c}`" for c in base.columns], "__lang.*")
+    base, back = aside(docs.drop(*new), "text")
+    return back(base.select("*", found.alias("__lang")), "__lang.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import WORD, numbered
+from .common import WORD, aside, numbered
 
 # Fixed values of the contract: weights repeat over the ordered sources, and no source is taken more than so many times.
 WEIGHTS = (1, 2, 3)
@@ -95,7 +95,8 @@ def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     )
     taken = taken.where(F.col("__taken") > 0).withColumnsRenamed({"doc_id": "__id", "source": "__source", "text_hash": "__of"})
     match = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__hash") == F.col("__of"))
-    rows = numbered(docs).join(taken, match)
+    given, back = aside(docs, "doc_id", "source", "text", "n_chars")
+    rows = numbered(given).join(taken, match)
     # equal rows share what was taken of them: whole repetitions alike, the rest in the order of their numbers
     whole = F.floor(F.col("__taken") / (F.col("__size") * F.col("__rows")))
     rest = F.col("__taken") - whole * F.col("__size") * F.col("__rows") - (F.col("__copy") - 1) * F.col("__size")
@@ -109,4 +110,4 @@ def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    return back(out)

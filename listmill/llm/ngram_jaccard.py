@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, mix64, numbered, sieve, small_batches, stored, word_hashes
+from .common import WORD, aside, mix64, numbered, sieve, small_batches, stored, word_hashes
 from .linkage import groups
 
 # Fixed values of the contract: five-word shingles, and 100 * intersection >= 75 * union.
@@ -259,5 +259,6 @@ def keep_one(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     stays = found.groupBy("group").agg(F.first("doc_id").alias("__id"), F.min("text_hash").alias("__of")).select("__id", "__of")
     has_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__of"))
-    one = numbered(docs.where(has_word)).where(F.col("__copy") == 1).join(stays, match, "left_semi").drop("__hash", "__copy")
-    return one.unionByName(docs.where(~has_word))
+    rows, back = aside(docs, "doc_id", "text")
+    one = numbered(rows.where(has_word)).where(F.col("__copy") == 1).join(stays, match, "left_semi")
+    return back(one).unionByName(docs.where(~has_word))

@@ -11,7 +11,7 @@ from helpers import SCHEMA, awkward, count, grouped, levenshtein, prose, row, sh
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from listmill.llm import exact_dedup, line_dedup, linkage, mixing, ngram_jaccard
+from listmill.llm import exact_dedup, language_id, line_dedup, linkage, mixing, ngram_jaccard
 from listmill.llm.common import SPACES, sieve
 from listmill.llm.queries import _OP8_SQL
 
@@ -211,6 +211,21 @@ def test_the_part_of_a_mixed_text_is_verbatim(spark):
     assert parts and all(any(w.startswith(p) for w in whole) for p in parts)
 
 
+CLASHING = "__lang __of __of_hash __dropped __id __source __taken __rows __size __hash __copy __part __time text_hash lang_pred lang_score other_0 other_3 row".split()
+
+
+def test_no_column_of_the_input_clashes_with_inner_ones(spark):
+    docs = table(spark, awkward()).select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"{c} of ").alias(c) for c in CLASHING])
+    docs = docs.select(*[F.concat(c, F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) if c in CLASHING else c for c in docs.columns])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHING)
+    named = language_id.identify(docs.drop("lang_pred", "lang_score"), None)
+    assert named.columns == [c for c in docs.columns if c not in ("lang_pred", "lang_score")] + ["lang_pred", "lang_score", "lang_rejected"]
+
+
 def near_copies(rng, n):
     base = [prose(rng, k) for k in (4, 6, 7, 8, 9, 12, 15, 40, 90, 200)]
     return [edited(rng, t, rng.randrange(3)) if rng.random() < 0.7 else t.title() for t in (rng.choice(base) for _ in range(n))]
