@@ -65,6 +65,13 @@ def test_base_rules_equal_brute_force():
         assert quality_rules.base_counts(t) == brute_base(t)
 
 
+def test_bucket_counts_add_up_over_partitions(spark):
+    docs = table(spark, awkward(), 5)
+    want = sum(np.bincount(quality_rules.buckets(r[1]), minlength=1 << quality_rules.BITS) for r in awkward() if r[1])
+    assert (quality_rules.bucket_counts(docs) == want).all()
+    assert not quality_rules.bucket_counts(docs.limit(0)).any()
+
+
 def test_quality_verdicts(spark):
     rng = random.Random(4)
     good = [row(i, prose(rng, 90)) for i in range(40)]
