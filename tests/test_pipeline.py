@@ -215,3 +215,13 @@ def test_map_and_validate(spark):
     assert r["ok"] and "Source: src" in r["summary"] and "Deadline: 2026-06-03" in r["summary"]
     late = validate(map_records(raw, src), F.lit("2026-07-01").cast("date")).first()
     assert late["reasons"] == ["expired"]
+
+
+def test_pages_are_no_unreadable_payloads(spark):
+    page = "<!doctype html><html><body><p>one<br>two &nbsp; <b>three</p></body></html>"
+    rows = [("p", "u", page), ("p", "u", None), ("none", "u", page), ("w", "u", page), ("w", "u", "<rss></rss>"), ("j", "u", "{bro"), ("j", "u", "{}")]
+    df = spark.createDataFrame(rows, "source_name string, url string, payload string")
+    kinds = spark.createDataFrame([("p", "generic", None, None), ("w", " RSS", None, None), ("j", "jobicy_api", None, None)], "source_name string, type string, default_location string, default_category string")
+    assert {r["source_name"]: r["n_bad"] for r in feeds.unreadable(df, kinds).collect()} == {"p": 1, "w": 1, "j": 1}
+    counts = {r["source_name"]: (r["n_payloads"], r["n_bad"]) for r in feeds.routing_counts(df, kinds).collect()}
+    assert counts == {"p": (2, 1), "none": (1, 0), "w": (2, 1), "j": (2, 1)}
