@@ -16,6 +16,22 @@ def test_deep_pages_are_read():
     assert text.split().count("x") == 5000 and "end" in text and "SECRET" not in text
 
 
+def test_references_of_main_text_are_resolved_once_and_only_when_complete(spark):
+    html = "<article><h1>R&amp;D</h1><p>a&amp</p><p>x &amp;lt; y &eacute; &Eacute; &#65;</p><a class='title' href='/j?a=1&amp;b=2'>Q&amp;A</a></article>"
+    tree = pages.read_tree(spark.createDataFrame([(1, "https://a.example/x", html)], "page_id int, url string, html string"))
+    lines = [t for t in pages.page_text(tree).first().text.split("\n") if t]
+    assert lines == ["R&D", "a&amp", "x &lt; y é É A", "Q&A"]
+    card = html_pass.describe_card(1, next(html_pass_root(html).walk()), {})
+    assert card["links"] == [{"href": "/j?a=1&b=2", "text": "Q&A"}] and "R&D" in card["text"]
+
+
+def html_pass_root(html):
+    builder = html_pass.TreeBuilder()
+    builder.feed(html)
+    builder.close()
+    return builder.root
+
+
 def test_more_viewed_listings_than_one_scan_takes(spark):
     n = 266
     jobs = spark.range(n).select(
