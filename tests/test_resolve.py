@@ -194,3 +194,34 @@ def test_similar_equals_all_pairs(spark):
     assert {(r.id, r["rank"], r.candidate_id, r.score) for r in some.collect()} == similar_by_hand(rows, [r for r in rows if r["id"] < 100], k)
     assert similar(jobs, jobs.filter("false"), F.lit("2024-02-01").cast("date"), public_only=False).count() == 0
     assert resolve.SPLIT > 1
+
+
+def test_runs_never_rule_out_a_match_and_tell_texts_of_equal_letters_apart(spark):
+    rng = random.Random(8)
+    pairs = []
+    for case in range(240):
+        letters = rng.choice(["etaoin shrdlu cmfw qzxkj", "abcdefghijklmnop ", "aeio ", "".join(map(chr, range(0x4E00, 0x4EA0))) + " "])
+        n = rng.choice([3, 9, 60, 198, 199, 200, 201, 420, 1100])
+        t = "".join(rng.choice(letters if rng.random() < 0.2 else letters[:8]) for _ in range(n))
+        u = list(t)
+        for _ in range(int(n * rng.choice([0, 0.004, 0.02, 0.04, 0.06]))):
+            at = rng.randrange(len(u))
+            kind = rng.randrange(3)
+            u[at : at + (kind != 0)] = [rng.choice(letters)] if kind != 1 else []
+        if case % 5 == 0:
+            at = rng.randrange(len(u))
+            u = u[at:] + u[:at] if case % 2 else [*u[: len(u) // 2], *"tail", *u[len(u) // 2 :]]
+        pairs += [(t, "".join(u)), ("".join(u), t)]
+    words = [t for t, _ in pairs if len(t) > 1000 and identity.seeds(t) <= 40]
+    shuffled = [(t, "".join(rng.sample(t, len(t)))) for t in words]
+    df = spark.createDataFrame(pairs + shuffled, "a string, b string").repartition(4)
+    sk = df.select("a", "b", identity.text_sketch("a").alias("ra"), identity.text_sketch("b").alias("rb"))
+    rows = sk.select(
+        "a", "b", identity.runs_allow(F.col("ra.bits"), F.col("rb.bits"), F.length("a"), F.length("b"), F.col("rb.seeds"), 0.9).alias("runs"),
+        identity.letters_allow(identity.letter_counts(F.col("a")), identity.letter_counts(F.col("b")), 0.9).alias("letters"),
+    ).collect()
+    near = [r for r in rows if alike(r.a, r.b)]
+    assert len(near) > 150 and all(r.runs for r in near)
+    assert sum(not r.runs for r in rows) > 20
+    mixed = {b for _, b in shuffled}
+    assert mixed and all(r.letters and not r.runs for r in rows if r.b in mixed and not alike(r.a, r.b))
