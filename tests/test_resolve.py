@@ -225,3 +225,11 @@ def test_runs_never_rule_out_a_match_and_tell_texts_of_equal_letters_apart(spark
     assert sum(not r.runs for r in rows) > 20
     mixed = {b for _, b in shuffled}
     assert mixed and all(r.letters and not r.runs for r in rows if r.b in mixed and not alike(r.a, r.b))
+
+
+def test_dry_run_compares_with_stored_values_alone(spark):
+    kept = ["T", "acme", "harare", "Other", "", "https://d.example/a", "s", "https://d.example/1", "x", "h1", "low"]
+    raised = [*kept[:-1], "high"]
+    a, b = frames(spark, [(1, kept)], [(10, raised), (11, kept)])
+    dry = {r.ord: (r.action, r.stored_id) for r in merge.merge_actions(a, b, "ord", dry_run=True).collect()}
+    assert dry == {10: ("updated", 1), 11: ("skipped", 1)}
