@@ -1,7 +1,9 @@
 """Admission, windowed counts and incremental ingest as streams: late rows, expiry, retried batches."""
 
 import random
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +46,21 @@ def test_admission_in_batches_equals_one_pass(spark):
     assert state.filter(F.size("held") > 3).count() == 0
 
 
+def test_admission_of_many_clients_costs_no_frame_per_client():
+    rows = [(i, "ab"[i % 2], i // 4, i % 3 * 40) for i in range(80_000)]
+    pdf = pd.DataFrame(rows, columns=["request_id", "scope", "client", "s"]).assign(_kind=1, _us=lambda d: d["s"] * 1_000_000, held=None)
+    pdf = pdf.sort_values(["scope", "client", "_us", "request_id"])
+    start = time.perf_counter()
+    batches = (pdf.iloc[i : i + 10_000] for i in range(0, len(pdf), 10_000))
+    out = pd.concat(list(E._admit_sorted(["scope", "client"], "request_id", 1, 60 * 1_000_000)(batches)))
+    took = time.perf_counter() - start
+    asked = out[out["admitted"].notna()]
+    assert dict(zip(asked["request_id"], asked["admitted"])) == one_by_one(rows, 1, 60)
+    assert out["admitted"].isna().sum() == 40_000
+    # a frame a client took minutes
+    assert took < 20
+
+
 def test_admission_state_is_empty_after_the_window(spark):
     _, state = E.admit(frame(spark, [(1, "a", 1, 0), (2, "a", 2, 30)]), None, "at", 2, 60)
     assert {r.client for r in state.collect()} == {1, 2}
