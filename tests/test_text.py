@@ -125,3 +125,19 @@ def test_urls(spark):
     assert value(spark, public, "/apiary") == "https://site.example/apiary"
     red = value(spark, U.redact_url, "https://h.x/p?Token=abc&q=1#f")
     assert red == "https://h.x/p?Token=%5Bredacted%5D&q=1"
+
+
+def test_null_if_empty_evaluates_its_text_once_inside_a_lambda(spark):
+    df = spark.createDataFrame([("a b",), ("",), (None,)], "t string").select(
+        T.bind(F.col("t"), lambda x: T.null_if_empty(F.regexp_replace(x, "zz", "y"))).alias("x")
+    )
+    assert [r.x for r in df.collect()] == ["a b", None, None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
+def test_runs_of_white_space_and_signs_as_the_whole_sets(spark):
+    texts = ["a b", " a", "a  b", "a \tb", "a\u00a0b", "a \u2003b", "a \u00e9", "\u00e9 a", "a - b", "a -b", "a _b", "1 2", " ", "a ", "", "\n \na", "x\t"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for new, old in ((T.WS_RUN, T.WS + "+"), (T.NON_WORD_RUN, T.NON_WORD), (T.BLANK_RUN, r"[ \t\f\x0B]+")):
+        rows = df.select("t", F.regexp_replace("t", new, " ").alias("a"), F.regexp_replace("t", old, " ").alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows]
