@@ -7,7 +7,7 @@ from ..functions import classify as C
 from ..functions import vocab as V
 from ..functions.quality import closed_strict, is_public
 from ..functions.text import (
-    empty_if_null, inline, normalize_block, null_if_empty, schema_text, slug, strip_source, to_paragraphs,
+    empty_if_null, inline, is_blank, normalize_block, null_if_empty, schema_text, slug, strip_source, to_paragraphs,
 )
 from ..functions.urls import job_path, safe_url, with_default_params
 from .pages import html_to_text
@@ -18,8 +18,8 @@ def description_html(description: Column, summary: Column, requirements: Column)
     """Body and requirements as safe paragraphs, without source notes."""
 
     def text_of(c):
-        marked = c.rlike("<[A-Za-z/][^>]*>")
-        return F.when(inline(c) != "", strip_source(F.when(marked, html_to_text(c)).otherwise(schema_text(c))))
+        marked = F.contains(c, F.lit("<")) & c.rlike("<[A-Za-z/][^>]*>")
+        return F.when(~is_blank(c), strip_source(F.when(marked, html_to_text(c)).otherwise(schema_text(c))))
 
     body = F.coalesce(null_if_empty(empty_if_null(description)), summary)
     parts = F.array_compact(F.array(null_if_empty(text_of(body)), null_if_empty(text_of(requirements))))

@@ -1,9 +1,12 @@
+import re
+
 from pyspark.sql import functions as F
 
 from listmill.functions import classify as C
 from listmill.functions import quality as Q
 from listmill.functions import text as T
 from listmill.functions import urls as U
+from listmill.functions import vocab as V
 
 
 def value(spark, make, *args):
@@ -141,3 +144,52 @@ def test_runs_of_white_space_and_signs_as_the_whole_sets(spark):
     for new, old in ((T.WS_RUN, T.WS + "+"), (T.NON_WORD_RUN, T.NON_WORD), (T.BLANK_RUN, r"[ \t\f\x0B]+")):
         rows = df.select("t", F.regexp_replace("t", new, " ").alias("a"), F.regexp_replace("t", old, " ").alias("b")).collect()
         assert [r.a for r in rows] == [r.b for r in rows]
+
+
+ODD_TEXTS = [
+    "", " ", "\n", "a\n\n\n\nb", "a  b\n c", "a \n b", "x\ty\x0bz", "a\x1cb\n\x1f\nc", "a\x85b", "a  b 　", " a​﻿b\r\nc\rd",
+    "&amp;nbsp;x&#65;&nbsp; y", "one • two • three", "• Home", "- | Menu |", "Latest  Jobs", "12 jobs found", "Category: x", "* Showing\t3 jobs", "***",
+    "subscribe now", "NGO Jobs", "Employer Login", "Remote & International", "Private  Sector", "Internships", "Save job\nText that stays here", "é  home", "\x01\x7f", "Homes",
+]
+
+
+def test_texts_that_need_no_pattern_come_out_as_by_the_patterns(spark):
+    def by_patterns(c):
+        t = T.unescape(T.empty_if_null(c))
+        for sign, other in ((" ", " "), ("​", ""), ("﻿", ""), ("\r\n", "\n"), ("\r", "\n")):
+            t = F.replace(t, F.lit(sign), F.lit(other))
+        return t
+
+    def lines_by_patterns(c):
+        t = F.regexp_replace(by_patterns(c), r"[ \t\f\x0B]+", " ")
+        t = F.regexp_replace(T.strip(t), f"{T.WS_IN_LINE}*\n{T.WS_IN_LINE}*", "\n")
+        return F.btrim(F.regexp_replace(t, r"\n{3,}", "\n\n"), F.lit(T.EDGE))
+
+    def noise_by_patterns(x):
+        bare = F.btrim(F.regexp_replace(F.regexp_replace(x, r"^[•\-*]\s*", ""), T.WS + "+", " "), F.lit(T.EDGE))
+        return (bare == "") | bare.isin(V.INFERRED_CATEGORIES) | bare.rlike("(?i)" + V.NOISE_LINE) | bare.rlike("(?i)" + V.CATEGORY_HEADING_LINE)
+
+    c = F.col("t")
+    rows = spark.createDataFrame([(t,) for t in [*ODD_TEXTS, *map(" \n".join, zip(ODD_TEXTS, ODD_TEXTS[7:]))]], "t string").select(
+        "t", F.array(T.plain(c), T.clean_text(c, keep_lines=True)).alias("a"), F.array(by_patterns(c), lines_by_patterns(c)).alias("b"),
+        F.array(T.is_noise_line(c), T.is_blank(c)).alias("d"), F.array(noise_by_patterns(c), T.inline(c) == "").alias("e"),
+        T.one_line_of(c, c).alias("f"), T.one_line(c).alias("g"),
+    ).collect()
+    for r in rows:
+        assert (r.a, r.d, r.f) == (r.b, r.e, r.g), r.t
+    assert sum(r.d[0] for r in rows) > 10 and sum(not r.d[0] for r in rows) > 10
+
+
+def test_every_noise_line_begins_with_a_known_word():
+    starts = re.compile("(?i)(?:" + "|".join([r"\(\?:\\d", *V.NOISE_STARTS]) + ")")
+    for part in re.split(r"\|(?![^(]*\))", re.sub(r"^\^\(\?:|\)\$$", "", V.NOISE_LINE)):
+        assert starts.match(part), part
+    assert all(starts.match(x) for x in V.INFERRED_CATEGORIES)
+
+
+def test_lines_with_one_role_are_not_searched_for_page_chrome(spark):
+    """The test of page chrome may stand only behind that of two roles."""
+    df = spark.createDataFrame([("Nurse", "Job Title: Nurse\nWork in Harare")], "t string, b string").select(Q.is_merged(F.col("t"), F.col("b")))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    chrome = plan.rindex("latest jobs)\\b)")
+    assert ">= 2" in plan[:chrome]
