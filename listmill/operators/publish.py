@@ -36,10 +36,15 @@ def posting_columns(
     company = inline(get("company"))
     loc = inline(get("location"))
     place = C.physical_place(loc)
+    # exploded from an array of one: the filter below would else be moved before the projection and make the text again
+    made = description_html(get("job_description"), get("summary"), get("requirements"))
     rows = jobs.filter(~closed_strict(get("tags"), get("expires_at"), as_of_date)).select(
+        *jobs.columns, F.explode(F.array(made)).alias("_description")
+    )
+    rows = rows.select(
         "id",
         inline(get("title")).alias("title"),
-        description_html(get("job_description"), get("summary"), get("requirements")).alias("description"),
+        F.col("_description").alias("description"),
         F.date_format(C.iso_date(posted), "yyyy-MM-dd").alias("date_posted"),
         F.date_format(C.iso_date(get("expires_at")), "yyyy-MM-dd").alias("valid_through"),
         company.alias("company"),

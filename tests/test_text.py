@@ -193,3 +193,15 @@ def test_lines_with_one_role_are_not_searched_for_page_chrome(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     chrome = plan.rindex("latest jobs)\\b)")
     assert ">= 2" in plan[:chrome]
+
+
+def test_a_posting_makes_its_description_once(spark):
+    from listmill.operators import publish as P
+
+    names = ["title", "company", "location", "tags", "expires_at", "posted_at", "job_description", "summary", "employment_type", "salary_range", "remote_status"]
+    values = ["Nurse", "Acme", "Harare, Zimbabwe", "", None, "2024-01-15", "First.\n\nSecond.", "s", "Full-time", "", "On-site"]
+    df = spark.createDataFrame([(1, *values), (2, *values[:6], " ", " ", *values[8:])], "id long, " + ", ".join(f"{n} string" for n in names))
+    df = df.withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    rows = P.posting_columns(df, F.lit("2024-07-01").cast("date"))
+    assert [(r.id, r.description) for r in rows.collect()] == [(1, "<p>First.</p><p>Second.</p>")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("<p>") == 1
