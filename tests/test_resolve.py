@@ -233,3 +233,28 @@ def test_dry_run_compares_with_stored_values_alone(spark):
     a, b = frames(spark, [(1, kept)], [(10, raised), (11, kept)])
     dry = {r.ord: (r.action, r.stored_id) for r in merge.merge_actions(a, b, "ord", dry_run=True).collect()}
     assert dry == {10: ("updated", 1), 11: ("skipped", 1)}
+
+
+def test_ratio_equals_the_public_matcher_without_visiting_popular_letters():
+    rng = random.Random(11)
+    for letters in ("ab", "abcdefgh ", "etaoin shrdlu cmfwyp vbgkqjxz"):
+        for size in (0, 1, 7, 60, 199, 200, 201, 700):
+            for edits in (0, 3, 40):
+                a = [rng.choice(letters) for _ in range(size)]
+                b = list(a)
+                for _ in range(edits):
+                    b.insert(rng.randrange(len(b) + 1), rng.choice(letters))
+                a, b = "".join(a), "".join(b)
+                assert identity.ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+    class Watched(str):
+        visits = 0
+
+        def __getitem__(self, i):
+            Watched.visits += 1
+            return super().__getitem__(i)
+
+    words = " ".join(rng.choice(WORDS) for _ in range(400))[:2000]
+    a, b = Watched(words + "q"), words[::-1] + "q"
+    identity.ratio(a, b)
+    assert Watched.visits < 2_000
