@@ -56,3 +56,24 @@ def test_mapped_records_carry_the_batch_time(spark):
     at = F.lit("2024-05-01 10:00:00").cast("timestamp")
     row = map_records(raw, sources, at).first()
     assert str(row.created_at) == str(row.scraped_at) == "2024-05-01 10:00:00"
+
+
+def test_page_pass_hands_on_small_parts_and_leaves_no_trees():
+    import gc
+
+    import pyarrow as pa
+
+    html = "<main><p>a</p><div class='job-card'><h2>Nurse</h2><p>" + "plans for the whole team " * 3 + "</p></div></main>"
+    own = [[("job_cards", ".mine")], None]
+    batch = pa.record_batch({"page_id": list(range(500)), "html": [html, None] * 250, "selectors": pa.array(own * 250, pa.map_(pa.string(), pa.string()))})
+    gc.collect()
+    gc.disable()
+    try:
+        parts = list(html_pass.read_pages([batch]))
+        left = gc.collect()
+    finally:
+        gc.enable()
+    assert left < 500 and max(p.num_rows for p in parts) <= 200
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["page_id"] for r in rows] == list(range(500)) and rows[0].keys() == {"page_id", "main_text", "error", "cards"}
+    assert [len(r["cards"]) for r in rows[:2]] == [1, 0] and rows[0]["cards"][0]["titles"] == ["Nurse"] and rows[1]["main_text"] == ""
