@@ -10,7 +10,7 @@ from ..functions import classify as C
 from ..functions import vocab as V
 from ..functions.text import clean_text, empty_if_null, null_if_empty, one_line
 from ..functions.urls import normalize_url, path
-from ..operators.pages import html_to_text, page_records
+from ..operators.pages import few_rows, html_to_text, page_records
 from ..session import cut_lineage
 
 RAW_COLUMNS = [
@@ -276,19 +276,38 @@ FEED_TYPES = {
 def with_types(feeds: DataFrame, settings: DataFrame) -> DataFrame:
     """Payloads with ``_type``, their source's type; generic without settings."""
     kinds = settings.select("source_name", F.lower(F.trim("type")).alias("_type"))
+    kinds = F.broadcast(kinds) if few_rows(settings) else kinds
     return feeds.join(kinds, "source_name", "left").withColumn("_type", F.coalesce("_type", F.lit("generic")))
 
 
+def _by_type(feeds: DataFrame, settings: DataFrame):
+    """A function from a feed type (None: every other) to its payloads.
+
+    Few sources are told apart by name, which reaches the scan of the payloads: a type reads its own and joins nothing.
+    """
+    if few_rows(settings):
+        kinds = {}
+        rows = settings.select("source_name", F.lower(F.trim("type")).alias("t")).collect()
+        for r in rows:
+            kinds.setdefault(r.t, []).append(r.source_name)
+        known = [n for t in FEED_TYPES for n in kinds.get(t, []) if n is not None]
+        if len({r.source_name for r in rows}) == len(rows):
+            mine = lambda names: F.coalesce(F.col("source_name").isin(*names), F.lit(False)) if names else F.lit(False)
+            return lambda kind: feeds.filter(~mine(known)) if kind is None else feeds.filter(mine([n for n in kinds.get(kind, []) if n is not None]))
+    typed = with_types(feeds, settings)
+    return lambda kind: typed.filter(~F.col("_type").isin(*FEED_TYPES) if kind is None else F.col("_type") == kind)
+
+
 def route(feeds: DataFrame, settings: DataFrame) -> DataFrame:
     """Flatten a mix of payloads, each by its source's type.
 
     Feed types have their own form. Every other type, an unknown or missing one and sources without settings too, is
     read as a stored page: a detail page gives its record, a page without detail links its cards.
     """
-    typed = with_types(feeds, settings)
-    out = page_payloads(typed.filter(~F.col("_type").isin(*FEED_TYPES)), settings)
+    of = _by_type(feeds, settings)
+    out = page_payloads(of(None), settings)
     for kind, flatten in FEED_TYPES.items():
-        out = out.unionByName(flatten(typed.filter(F.col("_type") == kind), settings), allowMissingColumns=True)
+        out = out.unionByName(flatten(of(kind), settings), allowMissingColumns=True)
     return out
 
 
